@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoflow.llm.common import documents
 
@@ -242,7 +243,7 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", digest: bool =
     `digest`, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 stand for the
     two. Rows stay as they are, repeated ones too; columns of `df` named like a result are replaced.
     """
-    made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {"n_tokens": "long", "ids": "array<int>", "decoded": "string"}
+    made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {"n_tokens": "long", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
     keep = [c for c in df.columns if c != text and c not in made]
     df = df.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = df.drop("_text").schema

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoflow.llm.common import components, documents, spill
+from geoflow.llm.shingles import shingle_hashes
 
 BITS = 64
 #: Fingerprints in a bucket that are compared with each other; larger buckets get finer keys.
@@ -29,22 +30,12 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int =
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        hashed = xxhash.xxh64_intdigest
         weights = np.uint64(1) << np.arange(BITS, dtype="uint64")
 
         def one(value: str | None) -> int:
-            parts = value.encode("utf-8", "surrogatepass").lower().split() if value else []
-            if not parts:
-                return 0
-            n = max(1, len(parts) - words + 1)
-            size = np.fromiter(map(len, parts), "int64", len(parts))
-            ends = np.cumsum(size + 1) - 1
-            starts = (ends - size)[:n].tolist()
-            ends = ends[min(words, len(parts)) - 1 :].tolist()
-            joined = b" ".join(parts)
-            h = np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), "uint64", n)
+            h = shingle_hashes(value, words, seed)
+            n = len(h)
             votes = np.zeros(BITS, "int64")
             for k in range(0, n, 1 << 16):
                 votes += np.unpackbits(h[k : k + (1 << 16)].view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
