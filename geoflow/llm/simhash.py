@@ -156,11 +156,79 @@ def simhash_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     return fps.join(named, "fp").select(id, "fp", "component_id")
 
 
-def simhash_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, budget: int = 3) -> DataFrame:
-    """`df` with one row of each near-duplicate group: that of the least id. Rows with a null id stay if alone."""
-    groups = simhash_groups(df, id, text, words, budget)
-    drop = groups.where(F.col("component_id") < F.col(id)).select(F.col(id).alias("_gone")).distinct()
-    return df.join(drop, F.col(id) == F.col("_gone"), "left_anti")
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """`pairs` (a, b: text sums) whose sets of shingles of `words` words have at least this Jaccard similarity."""
+    both = pairs.join(texts.select(F.col("sum").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("sum").alias("b"), F.col("_text").alias("_b")), "b")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("_a"), batch.column("_b"), strict=True):
+                x, y = (np.unique(shingle_hashes(t.as_py(), words)) for t in (a, b))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+
+
+def near_links(docs: DataFrame, words: int = 5, budget: int = 3, similarity: float = 0.8, far: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(texts, links) of `docs` (id, text): distinct texts (sum, least id), and pairs (u, v) of sums found alike.
+
+    Candidates are texts whose fingerprints over single words differ in at most `budget` bits: one changed word moves
+    them little, while it changes `words` shingles. They are told apart by fingerprints over shingles, at most `far`
+    bits (twice what texts of this similarity differ in), and then by the shingles themselves. Texts of one coarse
+    fingerprint are compared with its first text, those unlike it with the first of the rest, and so on; so a group of
+    copies costs as many comparisons as it has texts.
+    """
+    texts = docs.select(F.col("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("sum", F.xxhash64("_text"))
+    texts = spill(texts.groupBy("sum").agg(F.min("id").alias("least"), F.first("_text").alias("_text")), "texts")
+    fine = fingerprints(texts.select("sum", "least", "_text"), "_text", words).withColumnRenamed("fp", "fine")
+    coarse = fingerprints(texts.select("sum", "_text"), "_text", 1)
+    known = spill(fine.join(coarse, "sum"), "texts_fp")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        close = pairs.where(F.bit_count(F.col("fine_a").bitwiseXOR(F.col("fine_b"))) <= far)
+        return spill(_alike(close.select("a", "b"), texts, words, similarity), "alike")
+
+    rest, reps, found = known, None, []
+    while True:
+        first = spill(rest.groupBy("fp").agg(F.min(F.struct("least", "sum", "fine")).alias("r")).select("fp", F.col("r.sum").alias("b"), F.col("r.fine").alias("fine_b")), "first")
+        reps = first if reps is None else reps.unionByName(first)
+        pairs = rest.select("fp", F.col("sum").alias("a"), F.col("fine").alias("fine_a")).join(first, "fp").where("a <> b")
+        if pairs.isEmpty():
+            break
+        found.append(near(pairs))
+        rest = spill(known.join(pairs.select(F.col("a").alias("sum")), "sum", "left_semi").join(found[-1].select(F.col("a").alias("sum")), "sum", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    across = spill(links(known.select("fp"), budget), "links")
+    one, other = reps.select(F.col("fp").alias("u"), F.col("b").alias("a"), F.col("fine_b").alias("fine_a")), reps.select(F.col("fp").alias("v"), "b", "fine_b")
+    found.append(near(across.join(one, "u").join(other, "v")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return known.select("sum", "least"), out.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def simhash_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, budget: int = 3, similarity: float = 0.8) -> DataFrame:
+    """`df` with one document of each near-duplicate group: that of the least id. See `near_links`.
+
+    Groups are the components of links between texts of at least `similarity`. Rows with a null id stay; repeated ids
+    stay or go together; null texts are empty, and texts without words are alike.
+    """
+    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts, linked = near_links(docs, words, budget, similarity)
+    label = components(spill(linked, "near"))
+    both = texts.join(label, texts["sum"] == label.node, "left").select("sum", "least", F.coalesce("label", "sum").alias("label"))
+    of = both.groupBy("label").agg(F.min("least").alias("kept"))
+    kept = spill(both.join(of, "label").select("sum", "kept"), "kept")
+    sums = docs.select("id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum"))
+    drop = spill(sums.join(kept, "sum").where("kept < id").select(F.col("id").alias("_gone")).distinct(), "copies")
+    return df.join(drop, F.col(id).cast("long") == F.col("_gone"), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
