@@ -290,7 +290,8 @@ def _by_windows(strings: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key.as_py())), pa.array(np.full(n, content.as_py())), pa.array(start), pa.array(h.view("int64"))], ["key", "content", "first", "h"])
 
     rows = strings.mapInArrow(run, "key long, content long, first long, h long")
-    more = rows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h")
+    # a table, so that adaptive execution can split a window that very many fragments share
+    more = spill(rows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h"), "windows")
     hits = rows.join(more, ["key", "h"]).groupBy("key", "content").agg(F.collect_list(F.struct("first", F.col("first").alias("last"))).alias("spans"))
     return hits
 
@@ -298,7 +299,7 @@ def _by_windows(strings: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(id, sum, spans): byte spans (from, to) of each text that a repeated window covers; `docs` has id, sum, text."""
     keyed = _keyed(docs, window, gram)
-    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of_key"), F.max("again").alias("any")).where("of_key > 1 OR any").select("key")
+    common = spill(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of_key"), F.max("again").alias("any")).where("of_key > 1 OR any").select("key"), "common")
     places = spill(keyed.join(common, "key"), "fragments")
     kinds = spill(places.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "sum", "start", "n")).alias("place"), F.max("again").alias("again")), "kinds")
     sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("place.n") + window).alias("bytes"), F.max("again").alias("any")).where("kinds > 1 OR any")
