@@ -158,6 +158,10 @@ def simhash_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """`pairs` (a, b: text sums) whose sets of shingles of `words` words have at least this Jaccard similarity."""
+    pairs = spill(pairs, "candidates")
+    # only texts of candidates are dealt: where these are few, as in most rounds, the others stay where they are
+    asked = spill(pairs.select(F.col("a").alias("sum")).union(pairs.select(F.col("b").alias("sum"))).distinct(), "asked")
+    texts = spill(texts.join(asked, "sum", "left_semi").select("sum", "_text"), "asked_texts")
     both = pairs.join(texts.select(F.col("sum").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("sum").alias("b"), F.col("_text").alias("_b")), "b")
 
     def run(batches: Iterator) -> Iterator:
