@@ -16,16 +16,19 @@ BITS = 64
 BUCKET = 64
 
 
-def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """`df` without `text`, with `fp` (64 bits as a long).
+def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int = 42, also: dict[str, int] | None = None) -> DataFrame:
+    """`df` without `text`, with `fp` (64 bits as a long), and with fingerprints of `also` (column name to words).
 
     A-Z are lower-cased, words are runs of anything but ASCII white space, and each shingle of `words` words (repeats
     count; a shorter text is one shingle) votes with its XXH64. A bit is set where over half of the shingles set it.
-    Null, empty and blank texts have fingerprint 0. A column `fp` of `df` is replaced.
+    Null, empty and blank texts have fingerprint 0. Columns of these names in `df` are replaced.
     """
-    keep = [c for c in df.columns if c not in (text, "fp")]
+    made = {"fp": words, **(also or {})}
+    keep = [c for c in df.columns if c not in (text, *made)]
     df = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = df.drop("_text").schema.add("fp", "long", True)
+    schema = df.drop("_text").schema
+    for name in made:
+        schema = schema.add(name, "long", True)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -33,7 +36,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int =
 
         weights = np.uint64(1) << np.arange(BITS, dtype="uint64")
 
-        def one(value: str | None) -> int:
+        def one(value: str | None, words: int) -> int:
             h = shingle_hashes(value, words, seed)
             n = len(h)
             votes = np.zeros(BITS, "int64")
@@ -42,8 +45,8 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int =
             return int(weights[2 * votes > n].sum(dtype="uint64").astype("int64"))
 
         for batch in batches:
-            fp = [one(x.as_py()) for x in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp, pa.int64())], [*keep, "fp"])
+            fps = [[one(x.as_py(), n) for x in batch.column("_text")] for n in made.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in fps)], [*keep, *made])
 
     return df.mapInArrow(run, schema)
 
@@ -156,27 +159,62 @@ def simhash_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     return fps.join(named, "fp").select(id, "fp", "component_id")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sum, _text): the texts of `docs` with the sums in `asked` (sum), once each; other texts are not dealt where few are asked."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("sum", F.xxhash64("_text"))
+    return texts.join(asked.distinct(), "sum", "left_semi").groupBy("sum").agg(F.first("_text").alias("_text"))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """`pairs` (a, b: text sums) whose sets of shingles of `words` words have at least this Jaccard similarity."""
-    pairs = spill(pairs, "candidates")
-    # only texts of candidates are dealt: where these are few, as in most rounds, the others stay where they are
-    asked = spill(pairs.select(F.col("a").alias("sum")).union(pairs.select(F.col("b").alias("sum"))).distinct(), "asked")
-    texts = spill(texts.join(asked, "sum", "left_semi").select("sum", "_text"), "asked_texts")
+    pairs = spill(pairs.select("a", "b").distinct(), "candidates")
+    texts = spill(_texts(docs, pairs.select(F.col("a").alias("sum")).union(pairs.select(F.col("b").alias("sum")))), "asked_texts")
     both = pairs.join(texts.select(F.col("sum").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("sum").alias("b"), F.col("_text").alias("_b")), "b")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        last, y = None, None
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("_a"), batch.column("_b"), strict=True):
-                x, y = (np.unique(shingle_hashes(t.as_py(), words)) for t in (a, b))
+            for a, b, key in zip(batch.column("_a"), batch.column("_b"), batch.column("b").to_pylist(), strict=True):
+                if key != last:  # a leader's rows come together
+                    last, y = key, np.unique(shingle_hashes(b.as_py(), words))
+                x = np.unique(shingle_hashes(a.as_py(), words))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return spill(both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long"), "alike")
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+
+def _by_prefix(some: DataFrame, docs: DataFrame, words: int, budget: int, similarity: float) -> DataFrame:
+    """Pairs (a, fine_a, b, fine_b) of `some` (fp, sum, fine, rank): each text with the first at every place it comes to.
+
+    A place is the bits of an equal chain of `fp`, and one of the least-hashed shingles, of which two sets of this
+    similarity must share one. Its first text is that of the least rank, then sum; so pairs grow with the texts.
+    """
+    ring = Ring(budget, budget + 1)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for t in batch.column("_text"):
+                h = np.unique(shingle_hashes(t.as_py(), words))
+                least = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else np.zeros(1, "uint64")
+                out.append(least.view("int64").tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "sum", "fine", "rank")), pa.array(out, pa.list_(pa.int64()))], ["fp", "sum", "fine", "rank", "shingles"])
+
+    rows = _texts(docs, some.select("sum")).join(some, "sum").select("fp", "sum", "fine", "rank", "_text").mapInArrow(run, "fp long, sum long, fine long, rank int, shingles array<long>")
+    keyed = rows.select("fp", "sum", "fine", "rank", F.explode("shingles").alias("shingle")).withColumn("mask", F.explode(F.array(*(F.lit(ring.mask(m)) for m in ring.first()))))
+    keyed = spill(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), "prefixes")
+    first = keyed.groupBy("mask", "key", "shingle").agg(F.min(F.struct("rank", "sum", "fp", "fine")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = keyed.join(first, ["mask", "key", "shingle"]).where((F.col("sum") != F.col("r.sum")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= budget))
+    return met.select(F.col("sum").alias("a"), F.col("fine").alias("fine_a"), F.col("r.sum").alias("b"), F.col("r.fine").alias("fine_b"))
 
 
 def near_links(docs: DataFrame, words: int = 5, budget: int = 3, similarity: float = 0.8, far: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -184,38 +222,31 @@ def near_links(docs: DataFrame, words: int = 5, budget: int = 3, similarity: flo
 
     Candidates are texts whose fingerprints over single words differ in at most `budget` bits: one changed word moves
     them little, while it changes `words` shingles. They are told apart by fingerprints over shingles, at most `far`
-    bits (twice what texts of this similarity differ in), and then by the shingles themselves. Texts of one coarse
-    fingerprint are compared with its first text, those unlike it with the first of the rest, and so on; so a group of
-    copies costs as many comparisons as it has texts.
+    bits (twice what texts of this similarity differ in), and then by the shingles themselves. Every text of a coarse
+    fingerprint is compared with its leader, the text of the least id; so a group of copies costs as many comparisons
+    as it has texts. Leaders of near fingerprints are compared with each other. Texts unlike their own leader meet
+    the leaders of near fingerprints, and each other, as `_by_prefix` has it.
     """
-    texts = docs.select(F.col("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("sum", F.xxhash64("_text"))
-    texts = spill(texts.groupBy("sum").agg(F.min("id").alias("least"), F.first("_text").alias("_text")), "texts")
-    fine = fingerprints(texts.select("sum", "least", "_text"), "_text", words).withColumnRenamed("fp", "fine")
-    coarse = fingerprints(texts.select("sum", "_text"), "_text", 1)
-    known = spill(fine.join(coarse, "sum"), "texts_fp")
+    sums = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    known = fingerprints(docs.select("id", "text", sums.alias("sum")), "text", 1, also={"fine": words})
+    known = spill(known.groupBy("sum").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("fine").alias("fine")), "texts")
+    first = spill(known.groupBy("fp").agg(F.min(F.struct("least", "sum", "fine")).alias("r")).select("fp", F.col("r.sum").alias("b"), F.col("r.fine").alias("fine_b")), "leaders")
 
     def near(pairs: DataFrame) -> DataFrame:
-        close = pairs.where(F.bit_count(F.col("fine_a").bitwiseXOR(F.col("fine_b"))) <= far)
-        return spill(_alike(close.select("a", "b"), texts, words, similarity), "alike")
-
-    rest, reps, found = known, None, []
-    while True:
-        first = spill(rest.groupBy("fp").agg(F.min(F.struct("least", "sum", "fine")).alias("r")).select("fp", F.col("r.sum").alias("b"), F.col("r.fine").alias("fine_b")), "first")
-        reps = first if reps is None else reps.unionByName(first)
-        pairs = rest.select("fp", F.col("sum").alias("a"), F.col("fine").alias("fine_a")).join(first, "fp").where("a <> b")
-        if pairs.isEmpty():
-            break
-        found.append(near(pairs))
-        rest = spill(known.join(pairs.select(F.col("a").alias("sum")), "sum", "left_semi").join(found[-1].select(F.col("a").alias("sum")), "sum", "left_anti"), "rest")
-        if rest.isEmpty():
-            break
-    across = spill(links(known.select("fp"), budget), "links")
-    one, other = reps.select(F.col("fp").alias("u"), F.col("b").alias("a"), F.col("fine_b").alias("fine_a")), reps.select(F.col("fp").alias("v"), "b", "fine_b")
-    found.append(near(across.join(one, "u").join(other, "v")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return known.select("sum", "least"), out.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return _alike(pairs.where(F.bit_count(F.col("fine_a").bitwiseXOR(F.col("fine_b"))) <= far), docs, words, similarity)
+
+    own = known.select("fp", F.col("sum").alias("a"), F.col("fine").alias("fine_a")).join(first, "fp").where("a <> b")
+    found = near(own)
+    rest = spill(own.join(found.select("a"), "a", "left_anti").select("fp", F.col("a").alias("sum"), F.col("fine_a").alias("fine")), "rest")
+    across = spill(links(first.select("fp"), budget), "links")
+    ends = F.col("b").alias("sum"), F.col("fine_b").alias("fine")
+    left, right = (first.select(F.col("fp").alias(x), F.col("b").alias(y), F.col("fine_b").alias(f"fine_{y}")) for x, y in (("u", "a"), ("v", "b")))
+    pairs = across.join(left, "u").join(right, "v").select("a", "fine_a", "b", "fine_b")
+    unled = rest.select("fp").distinct()
+    beside = across.union(across.select("v", "u")).join(unled, F.col("u") == F.col("fp"), "left_semi").select(F.col("v").alias("fp")).distinct()
+    some = spill(rest.withColumn("rank", F.lit(1)).unionByName(first.join(beside, "fp", "left_semi").select("fp", *ends, F.lit(0).alias("rank"))), "unled")
+    found = found.unionByName(near(pairs.unionByName(_by_prefix(some, docs, words, budget, similarity))))
+    return known.select("sum", "least"), found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def simhash_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, budget: int = 3, similarity: float = 0.8) -> DataFrame:

@@ -144,6 +144,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert simhash.simhash_dedup(docs(spark, [])).count() == 0
 
 
+def test_texts_unlike_their_leader_meet(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(120)]
+    shuffled = [rng.sample(words, len(words)) for _ in range(4)]  # the same words, so the same coarse fingerprint
+    near = [[*w[:60], "other", *w[61:]] for w in shuffled[1:]]
+    rows = [" ".join(w) for w in shuffled + near]
+    known, linked = simhash.near_links(docs(spark, rows).selectExpr("doc_id AS id", "text"))
+    of = {r["sum"]: r["least"] for r in known.collect()}
+    assert {tuple(sorted((of[r["u"]], of[r["v"]]))) for r in linked.collect()} == {(2, 5), (3, 6), (4, 7)}
+
+
+def test_near_copies_against_all_pairs(spark, documents, texts):
+    sets = {i: frozenset(map(int, simhash.shingle_hashes(t, 5))) for i, t in texts.items()}
+    of = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in pairs:
+            of[i] = of[j] = min(of[i], of[j])
+    want, got = {i for i in of if of[i] == i}, {r["doc_id"] for r in simhash.simhash_dedup(documents).collect()}
+    assert want <= got and len(got - want) <= 0.1 * (len(sets) - len(want))
+
+
 def test_fingerprints(spark, sf, texts):
     got = {r["doc_id"]: r for r in sketch.op6_fingerprints(spark, sf).collect()}
     ids = sorted(texts)
