@@ -14,6 +14,8 @@ from geoflow.llm.shingles import shingle_hashes
 BITS = 64
 #: Fingerprints in a bucket that are compared with each other; larger buckets get finer keys.
 BUCKET = 64
+#: Slots of a set's parity sketch; texts of a place that meet in one task; common shingles that are known to every task.
+BITMAP, BLOCK, LATE = 256, 1000, 100_000
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int = 42, also: dict[str, int] | None = None) -> DataFrame:
@@ -189,74 +191,104 @@ def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
     return spill(both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long"), "alike")
 
 
-def _by_prefix(some: DataFrame, docs: DataFrame, words: int, budget: int, similarity: float) -> DataFrame:
-    """Pairs (a, fine_a, b, fine_b) of `some` (fp, sum, fine, rank): each text with the first at every place it comes to.
+def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -> DataFrame:
+    """(sum, least, n, b0-b3, places) of each distinct text of `docs` (id, text): the size of its set of shingles, whether
+    the number of them in each of 256 slots is odd, and the prefix of the set, of which two alike sets must share one.
 
-    A place is the bits of an equal chain of `fp`, and one of the least-hashed shingles, of which two sets of this
-    similarity must share one. Its first text is that of the least rank, then sum; so pairs grow with the texts.
+    The prefix is the least-hashed shingles, those in `late` (sorted) after all others: any one order for all texts is
+    right, and one with common shingles last makes small places. A text without words has the one place 0.
     """
-    ring = Ring(budget, budget + 1)
+    late = list(late)
+    rows = docs.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("sum", F.xxhash64("_text"))
+    schema = T.StructType.fromDDL("id long, sum long, n int, b0 long, b1 long, b2 long, b3 long, places array<long>")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        common = np.array(late, "int64").view("uint64")
         for batch in batches:
-            out = []
-            for t in batch.column("_text"):
+            sizes, odd, out = [], np.zeros((batch.num_rows, BITMAP // 64), "int64"), []
+            for k, t in enumerate(batch.column("_text")):
                 h = np.unique(shingle_hashes(t.as_py(), words))
-                least = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else np.zeros(1, "uint64")
-                out.append(least.view("int64").tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "sum", "fine", "rank")), pa.array(out, pa.list_(pa.int64()))], ["fp", "sum", "fine", "rank", "shingles"])
-
-    rows = _texts(docs, some.select("sum")).join(some, "sum").select("fp", "sum", "fine", "rank", "_text").mapInArrow(run, "fp long, sum long, fine long, rank int, shingles array<long>")
-    keyed = rows.select("fp", "sum", "fine", "rank", F.explode("shingles").alias("shingle")).withColumn("mask", F.explode(F.array(*(F.lit(ring.mask(m)) for m in ring.first()))))
-    keyed = spill(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), "prefixes")
-    first = keyed.groupBy("mask", "key", "shingle").agg(F.min(F.struct("rank", "sum", "fp", "fine")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keyed.join(first, ["mask", "key", "shingle"]).where((F.col("sum") != F.col("r.sum")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= budget))
-    return met.select(F.col("sum").alias("a"), F.col("fine").alias("fine_a"), F.col("r.sum").alias("b"), F.col("r.fine").alias("fine_b"))
-
-
-def near_links(docs: DataFrame, words: int = 5, budget: int = 3, similarity: float = 0.8, far: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(texts, links) of `docs` (id, text): distinct texts (sum, least id), and pairs (u, v) of sums found alike.
-
-    Candidates are texts whose fingerprints over single words differ in at most `budget` bits: one changed word moves
-    them little, while it changes `words` shingles. They are told apart by fingerprints over shingles, at most `far`
-    bits (twice what texts of this similarity differ in), and then by the shingles themselves. Every text of a coarse
-    fingerprint is compared with its leader, the text of the least id; so a group of copies costs as many comparisons
-    as it has texts. Leaders of near fingerprints are compared with each other. Texts unlike their own leader meet
-    the leaders of near fingerprints, and each other, as `_by_prefix` has it.
+                odd[k] = np.packbits((np.bincount((h & np.uint64(BITMAP - 1)).astype("int64"), minlength=BITMAP) & 1).astype("uint8"), bitorder="little").view("int64")
+                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                if len(common):
+                    h = h[np.argsort(np.isin(h, common), kind="stable")]
+                sizes.append(len(h))
+                out.append(h[:most].view("int64").tolist() if len(h) else [0])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(BITMAP // 64)), pa.array(out, pa.list_(pa.int64()))], schema.names)
+
+    known = rows.mapInArrow(run, schema).groupBy("sum").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in schema.names[2:]))
+    return spill(known, "sketches")
+
+
+def _places(known: DataFrame) -> DataFrame:
+    """(place, size, first, sum): the places that at least two texts come to, with the least sum of each."""
+    rows = known.select("sum", F.explode("places").alias("place"))
+    of = rows.groupBy("place").agg(F.count(F.lit(1)).alias("size"), F.min("sum").alias("first")).where("size > 1")
+    return spill(rows.join(of, "place").select("place", "size", "first", "sum"), "places")
+
+
+def _may_be_alike(similarity: float) -> Column:
+    """Whether the sketches x and y leave room for this similarity; true of every pair that has it.
+
+    Two sets differ in at least as many shingles as slots whose numbers of shingles are not both odd or both even.
     """
+    x, y = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, BITMAP // 64)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+    return (F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6) & (differ <= (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(texts, links) of `docs` (id, text): distinct texts (sum, least id), and pairs (u, v) of sums that are alike.
+
+    Every two texts of this similarity are linked, or in one component by other links. First each text is compared with
+    the leader (least id) of its fingerprint over single words and with the first text of each of its places, the
+    shingles of its prefix: as many comparisons as texts and places, and they link a group of copies. Then the texts of
+    a place that are still in different components are compared pair by pair, those of the largest component of the
+    place only with others. Places of more than `block` texts are dealt in blocks; none is capped.
+    """
+    known = _sketches(docs, words, similarity, [])
+    places = _places(known)
+    # a bounded number of the most common shingles: which ones come late changes the cost, not the result
+    late = [r["place"] for r in places.where(F.col("size") > bucket).groupBy("place").agg(F.first("size").alias("size")).orderBy(F.desc("size"), "place").limit(LATE).collect()]
+    if late:
+        known = _sketches(docs, words, similarity, sorted(late))
+        places = _places(known)
+    sketch = known.select("sum", F.struct("n", "b0", "b1", "b2", "b3").alias("s"))
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketch.select(F.col("sum").alias("a"), F.col("s").alias("x")), "a").join(sketch.select(F.col("sum").alias("b"), F.col("s").alias("y")), "b")
+        return both.where(_may_be_alike(similarity)).select("a", "b")
+
     sums = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    known = fingerprints(docs.select("id", "text", sums.alias("sum")), "text", 1, also={"fine": words})
-    known = spill(known.groupBy("sum").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("fine").alias("fine")), "texts")
-    first = spill(known.groupBy("fp").agg(F.min(F.struct("least", "sum", "fine")).alias("r")).select("fp", F.col("r.sum").alias("b"), F.col("r.fine").alias("fine_b")), "leaders")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        return _alike(pairs.where(F.bit_count(F.col("fine_a").bitwiseXOR(F.col("fine_b"))) <= far), docs, words, similarity)
-
-    own = known.select("fp", F.col("sum").alias("a"), F.col("fine").alias("fine_a")).join(first, "fp").where("a <> b")
-    found = near(own)
-    rest = spill(own.join(found.select("a"), "a", "left_anti").select("fp", F.col("a").alias("sum"), F.col("fine_a").alias("fine")), "rest")
-    across = spill(links(first.select("fp"), budget), "links")
-    ends = F.col("b").alias("sum"), F.col("fine_b").alias("fine")
-    left, right = (first.select(F.col("fp").alias(x), F.col("b").alias(y), F.col("fine_b").alias(f"fine_{y}")) for x, y in (("u", "a"), ("v", "b")))
-    pairs = across.join(left, "u").join(right, "v").select("a", "fine_a", "b", "fine_b")
-    unled = rest.select("fp").distinct()
-    beside = across.union(across.select("v", "u")).join(unled, F.col("u") == F.col("fp"), "left_semi").select(F.col("v").alias("fp")).distinct()
-    some = spill(rest.withColumn("rank", F.lit(1)).unionByName(first.join(beside, "fp", "left_semi").select("fp", *ends, F.lit(0).alias("rank"))), "unled")
-    found = found.unionByName(near(pairs.unionByName(_by_prefix(some, docs, words, budget, similarity))))
+    coarse = fingerprints(docs.select("id", "text", sums.alias("sum")), "text", 1).groupBy("sum").agg(F.first("fp").alias("fp"), F.min("id").alias("least"))
+    coarse = spill(coarse, "coarse")
+    leaders = coarse.groupBy("fp").agg(F.min(F.struct("least", "sum")).alias("r"))
+    own = coarse.join(leaders, "fp").select(F.col("sum").alias("a"), F.col("r.sum").alias("b")).where("a <> b")
+    found = _alike(sketched(own.union(places.select(F.col("sum").alias("a"), F.col("first").alias("b")).where("a <> b")).distinct()), docs, words, similarity)
+    label = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = places.join(label, places["sum"] == label.node, "left").select("place", "size", "sum", F.coalesce("label", "sum").alias("label"))
+    parts = named.groupBy("place", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("place").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
+    rows = spill(named.join(mixed, "place").join(sketch, "sum").select("place", "sum", "label", "main", "s", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
+    mine, others = F.pmod(F.xxhash64("sum"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("label <> main").select("place", mine.alias("i"), others.alias("j"), F.col("sum").alias("a"), F.col("label").alias("of_a"), F.col("s").alias("x"))
+    right = rows.select("place", mine.alias("j"), others.alias("i"), F.col("sum").alias("b"), F.col("label").alias("of_b"), (F.col("label") == F.col("main")).alias("mains"), F.col("s").alias("y"))
+    met = left.join(right, ["place", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & (F.col("mains") | (F.col("a") < F.col("b"))) & _may_be_alike(similarity))
+    found = found.unionByName(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, words, similarity))
     return known.select("sum", "least"), found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def simhash_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, budget: int = 3, similarity: float = 0.8) -> DataFrame:
+def simhash_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`df` with one document of each near-duplicate group: that of the least id. See `near_links`.
 
     Groups are the components of links between texts of at least `similarity`. Rows with a null id stay; repeated ids
     stay or go together; null texts are empty, and texts without words are alike.
     """
     docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts, linked = near_links(docs, words, budget, similarity)
+    texts, linked = near_links(docs, words, similarity)
     label = components(spill(linked, "near"))
     both = texts.join(label, texts["sum"] == label.node, "left").select("sum", "least", F.coalesce("label", "sum").alias("label"))
     of = both.groupBy("label").agg(F.min("least").alias("kept"))

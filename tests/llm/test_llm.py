@@ -166,6 +166,55 @@ def test_near_copies_against_all_pairs(spark, documents, texts):
     assert want <= got and len(got - want) <= 0.1 * (len(sets) - len(want))
 
 
+def _kept(spark, rows):
+    return sorted(r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(list(enumerate(rows, 1)), "doc_id long, text string")).collect())
+
+
+def test_near_copies_of_a_text_that_is_alike_to_its_leader(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    swapped = lambda w, *at: [w[i + 1] if i in at else w[i - 1] if i - 1 in at else x for i, x in enumerate(w)]
+    a = swapped(words, 30, 60, 90, 120)  # the same words, so one coarse fingerprint
+    c = swapped(a, 150, 180, 210, 240)
+    sets = [set(map(int, simhash.shingle_hashes(" ".join(w), 5))) for w in (words, a, c)]
+    alike = lambda x, y: len(x & y) / len(x | y)
+    assert alike(sets[0], sets[1]) >= 0.8 and alike(sets[1], sets[2]) >= 0.8 > alike(sets[0], sets[2])
+    assert _kept(spark, [" ".join(w) for w in (words, a, c)]) == [1]
+
+
+@pytest.mark.parametrize("length", [10, 20, 30, 50])
+def test_short_near_copies_go(spark, length):
+    rng = random.Random(length)
+    rows = []
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(length + 1)]
+        rows += [" ".join(words[:length]), " ".join(words)]  # one word more
+    assert _kept(spark, rows) == list(range(1, len(rows), 2))
+
+
+def test_places_of_many_blocks(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(80)]
+    rows = []
+    for _ in range(60):
+        at = set(rng.sample(range(80), rng.randint(1, 4)))
+        rows.append(" ".join(f"{x}{rng.random()}" if i in at else x for i, x in enumerate(words)))
+    sets = [set(map(int, simhash.shingle_hashes(t, 5))) for t in rows]
+    pairs = [(i, j) for i in range(60) for j in range(60) if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    of = list(range(60))
+    for _ in range(60):
+        for i, j in pairs:
+            of[i] = of[j] = min(of[i], of[j])
+    known, linked = simhash.near_links(spark.createDataFrame(list(enumerate(rows)), "id long, text string"), bucket=8, block=7)
+    least = {r["sum"]: r["least"] for r in known.collect()}
+    links = [(least[r["u"]], least[r["v"]]) for r in linked.collect()]
+    got = list(range(60))
+    for _ in range(60):
+        for i, j in links:
+            got[i] = got[j] = min(got[i], got[j])
+    assert got == of and {tuple(sorted(x)) for x in links} <= set(pairs)
+
+
 def test_fingerprints(spark, sf, texts):
     got = {r["doc_id"]: r for r in sketch.op6_fingerprints(spark, sf).collect()}
     ids = sorted(texts)
