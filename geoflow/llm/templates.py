@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoflow.llm.common import documents, held, spill
@@ -71,8 +71,6 @@ def benchmark_windows(benchmark: DataFrame, id: str, text: str, window: int) ->
 
 
 def _by(*columns: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*columns)
 
 
@@ -81,8 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
     Both sides become templates, and windows of `window` template tokens meet in a hash join. A pair counts from
     `matches` different windows of the item, or all of a shorter item. Where windows have slots, each value of the
-    item must stand for one value throughout the document (n_slots values, `consistent`); pairs that mix values are
-    left out, re-parameterised copies stay. Null or empty texts and items match nothing; a repeated row gives its
+    item must stand for one value (n_slots values) throughout the document, or in one occurrence that has as many
+    windows by itself: hits at one distance between document and item, or at near distances. So a pair is left out only
+    if every occurrence mixes values; a stray window or a second copy takes none away. Null or empty texts and items match nothing; a repeated row gives its
     pairs once; rows with null ids are left out.
     """
     asked = spill(benchmark_windows(benchmark, item_id, item_text, window), "benchmark")
@@ -97,19 +96,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     rows = templates.select("id", "sum", F.explode(arrays).alias("w")).select("id", "sum", "w.size", "w.pos", "w.h")
     rows = spill(rows.join(F.broadcast(keys) if small else keys, ["size", "h"], "left_semi"), "windows")
     hits = rows.join(F.broadcast(asked) if small else asked, ["size", "h"]).select("id", "sum", "pos", "item", "at", "size", "total", "slots")
-    pairs = hits.groupBy("id", "sum", "item").agg(F.count_distinct("at").alias("n_windows"), F.first("total").alias("item_windows"), F.sum("slots").alias("slots"))
-    pairs = spill(pairs.where(F.col("n_windows") >= F.least(F.lit(matches), F.col("item_windows"))), "pairs")
-    # slot values, only of pairs that have slots
+    counts = F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.first("total").alias("item_windows"), F.sum("slots").alias("slots")
+    enough = F.col("n_windows") >= F.least(F.lit(matches), F.col("item_windows"))
+    pairs = spill(hits.groupBy("id", "sum", "item").agg(*counts).where(enough), "pairs")
+    # slot values, only of pairs that have slots: over the whole text (level 0), near distances (1), one distance (2)
     open_pairs = pairs.where("slots > 0").select("id", "sum", "item")
-    places = hits.where("slots > 0").join(open_pairs, ["id", "sum", "item"]).select("id", "sum", "item", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct((F.col("pos") + k).alias("p"), (F.col("at") + k).alias("q")))).alias("x")).select("id", "sum", "item", "x.p", "x.q").distinct()
+    by = _by("id", "sum", "item").orderBy("diagonal")
+    occurrences = hits.join(open_pairs, ["id", "sum", "item"]).withColumn("diagonal", F.col("pos") - F.col("at"))
+    occurrences = occurrences.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) >= F.col("size")).cast("int"), F.lit(0)))
+    occurrences = occurrences.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), part.cast("long").alias("part")) for k, part in enumerate((F.lit(0), F.col("run"), F.col("diagonal")))))
+    occurrences = spill(occurrences.withColumn("l", F.explode(levels)).select(*hits.columns, "l.level", "l.part"), "occurrences")
+    one = ["id", "sum", "item", "level", "part"]
+    whole = occurrences.groupBy(*one).agg(*counts).where(enough)
+    places = occurrences.where("slots > 0").select(*one, F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct((F.col("pos") + k).alias("p"), (F.col("at") + k).alias("q")))).alias("x")).select(*one, "x.p", "x.q").distinct()
     bare = lambda c: F.lower(F.regexp_replace(c, EDGES, ""))
     said = docs.select("id", F.xxhash64("text").alias("sum"), "text").join(open_pairs.select("id", "sum").distinct(), ["id", "sum"])
     said = said.dropDuplicates(["id", "sum"]).select("id", "sum", raw_tokens(F.col("text")).alias("raw"))
     items = held(held(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), "asked", raw_tokens(F.col("text"))), "t", canonical(F.col("asked"))).select("item", "asked", "t")
     values = places.join(said, ["id", "sum"]).join(items, "item").where(F.get("t", F.col("q")).isin("<num>", "<unit>", "<name>"))
-    values = values.select("id", "sum", "item", bare(F.get("asked", F.col("q"))).alias("of"), bare(F.get("raw", F.col("p"))).alias("to"))
-    judged = values.groupBy("id", "sum", "item", "of").agg(F.count_distinct("to").alias("ways")).groupBy("id", "sum", "item").agg(F.count(F.lit(1)).alias("n_slots"), (F.max("ways") == 1).alias("consistent"))
-    out = pairs.join(judged, ["id", "sum", "item"], "left").where(F.coalesce("consistent", F.lit(True)))
+    values = values.select(*one, bare(F.get("asked", F.col("q"))).alias("of"), bare(F.get("raw", F.col("p"))).alias("to"))
+    judged = values.groupBy(*one, "of").agg(F.count_distinct("to").alias("ways")).groupBy(*one).agg(F.count(F.lit(1)).alias("n_slots"), (F.max("ways") == 1).alias("consistent"))
+    held_in = whole.select(*one).join(judged, one, "left").where(F.coalesce("consistent", F.lit(True)))
+    held_in = held_in.groupBy("id", "sum", "item").agg(F.min_by("n_slots", F.struct("level", "part")).alias("n_slots"))
+    out = pairs.where("slots = 0").withColumn("n_slots", F.lit(0).cast("long")).unionByName(pairs.where("slots > 0").join(held_in, ["id", "sum", "item"]))
     out = out.groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
     return out.select(F.col("id").alias(id), F.col("item").alias("item_id"), "n_windows", F.col("item_windows").cast("long"), F.col("n_slots").cast("long"))
 

@@ -269,6 +269,16 @@ def test_decontamination(spark):
     assert templates.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_each_occurrence_of_an_item_is_judged_by_itself(spark):
+    item = "A train leaves the old station at 40 mph and travels for 3 hours before it stops near the river; how far does it go in total today?"
+    other, third = item.replace("40", "75"), item.replace("40", "90")
+    mixed = item.replace("40 mph", "40 mph and then at 50 mph").replace("at 40", "at 20 or 40")
+    texts = [f"{item} {other}", f"first {other} then some words between them and then {third} end", f"{item} More of the text is here, and it leaves the old station at 55 mph and goes on.", mixed + " nothing else"]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in templates.contaminated(docs(spark, texts), bench).collect()}
+    assert {1, 2, 3} <= got.keys() and all(got[i]["n_windows"] >= templates.MATCHES for i in (1, 2, 3))
+
+
 def test_benchmark_passages_are_found(spark, sf, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in templates.op1_decontamination(spark, sf).collect()}
