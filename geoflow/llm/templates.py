@@ -18,6 +18,7 @@ UNITS = (
     "ml l litre litres liter liters gallon gallons cup cups s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "degree degrees celsius fahrenheit percent dollar dollars cent cents euro euros usd eur mph kmh kph w kw kwh watt watts volt volts v hz khz mhz ghz b kb mb gb tb"
 ).split()
+SLOTS = ("<num>", "<unit>", "<name>")
 NUMBER = r"^[+\-]?[$€£]?[0-9][0-9.,:/]*%?$"
 NAME = r"^\p{Lu}\p{Ll}+(-\p{Lu}\p{Ll}+)*$"
 EDGES = r"^[^\p{L}\p{N}$€£+\-]+|[^\p{L}\p{N}%]+$"
@@ -47,6 +48,16 @@ def canonical(raw: Column) -> Column:
     return F.zip_with(raw, before, one)
 
 
+def slots_of(tokens: Column) -> Column:
+    """How many template tokens are placeholders."""
+    return F.size(F.filter(tokens, lambda x: x.isin(*SLOTS)))
+
+
+def valued(raw: Column, tokens: Column) -> Column:
+    """Template tokens with the values of the placeholders."""
+    return F.zip_with(raw, tokens, lambda r, x: F.when(x.isin(*SLOTS), F.concat(x, F.lit("\x01"), F.lower(F.regexp_replace(r, EDGES, "")))).otherwise(x))
+
+
 def _hash(tokens: Column, size: int) -> Column:
     """Hashes of all windows of `size` tokens, in order."""
     n = F.size(tokens) - size
@@ -57,17 +68,26 @@ def _placed(tokens: Column, size: int) -> Column:
     return F.transform(_hash(tokens, size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("h")))
 
 
+def _dense(tokens: Column, values: Column, size: int) -> Column:
+    """The windows of more placeholders than words, by their values."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - size, F.lit(0))), lambda i: slots_of(F.slice(tokens, i + 1, size)) * 2 > size)
+    windows = F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(values, i + 1, size)).alias("h")))
+    return F.when((F.size(tokens) >= size) & (slots_of(tokens) * 2 > size), windows).otherwise(F.array().cast("array<struct<size:int,pos:int,h:bigint>>"))
+
+
 def benchmark_windows(benchmark: DataFrame, id: str, text: str, window: int) -> DataFrame:
-    """(item, at, size, h, total, slots): each item's windows; items shorter than a window are one window.
+    """(item, at, size, h, total, usual, slots, dense): each item's windows; items shorter than a window are one window.
 
-    Windows of more placeholders than words say too little and are left out, unless they are their item's only one.
+    Windows of more placeholders than words say too little (`dense`), unless they are their item's only one: they stand
+    with the values of their slots. `total` counts all windows of an item, `usual` those that are not dense.
     """
     items = held(held(benchmark.select(F.col(id).alias("item"), F.col(text).alias("text")), "raw", raw_tokens(F.col("text"))), "t", canonical(F.col("raw"))).where(F.size("t") > 0)
-    items = items.withColumn("size", F.least(F.lit(window), F.size("t")))
-    each = items.select("item", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t") - F.col("size")), lambda i: F.slice("t", i + 1, F.col("size")))).alias("at", "w"), (F.size("t") - F.col("size") + 1).alias("n"))
-    each = each.withColumn("slots", F.size(F.filter("w", lambda x: x.isin("<num>", "<unit>", "<name>")))).where((F.col("slots") * 2 <= F.col("size")) | (F.col("n") == 1))
-    each = each.withColumn("total", F.count(F.lit(1)).over(_by("item")))
-    return each.select("item", "at", "size", F.xxhash64("w").alias("h"), "total", "slots")
+    items = held(items, "v", valued(F.col("raw"), F.col("t"))).withColumn("size", F.least(F.lit(window), F.size("t")))
+    windows = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("size")), lambda i: F.struct(F.slice("t", i + 1, F.col("size")).alias("w"), F.slice("v", i + 1, F.col("size")).alias("v")))
+    each = items.select("item", "size", F.posexplode(windows).alias("at", "x"), (F.size("t") - F.col("size") + 1).alias("n")).select("item", "size", "at", "n", "x.w", "x.v")
+    each = each.withColumn("slots", slots_of(F.col("w"))).withColumn("dense", (F.col("slots") * 2 > F.col("size")) & (F.col("n") > 1))
+    each = each.withColumn("usual", F.sum((~F.col("dense")).cast("int")).over(_by("item")))
+    return each.select("item", "at", "size", F.when(F.col("dense"), F.xxhash64("v")).otherwise(F.xxhash64("w")).alias("h"), F.col("n").alias("total"), "usual", "slots", "dense")
 
 
 def _by(*columns: str):
@@ -78,7 +98,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     """(id, item_id, n_windows, item_windows, n_slots, consistent) for each document that holds a benchmark item.
 
     Both sides become templates, and windows of `window` template tokens meet in a hash join. A pair counts from
-    `matches` different windows of the item, or all of a shorter item. Where windows have slots, each value of the
+    `matches` different windows of the item, or all of a shorter item, or all that are not dense where those are fewer;
+    dense windows (see `benchmark_windows`) meet only with equal values. Where windows have slots, each value of the
     item must stand for one value (n_slots values) throughout the document, or in one occurrence that has as many
     windows by itself: hits at one distance between document and item, or at near distances. So a pair is left out only
     if every occurrence mixes values; a stray window or a second copy takes none away. Null or empty texts and items match nothing; a repeated row gives its
@@ -91,13 +112,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         sizes = [window]
     small = asked.count() <= BROADCAST
     keys = asked.select("size", "h").distinct()
-    templates = held(held(docs, "raw", raw_tokens(F.col("text"))), "t", canonical(F.col("raw"))).select("id", F.xxhash64("text").alias("sum"), "t")
-    arrays = F.flatten(F.array(*(_placed(F.col("t"), s) for s in sizes)))
+    templates = held(held(docs, "raw", raw_tokens(F.col("text"))), "t", canonical(F.col("raw")))
+    each = [_placed(F.col("t"), s) for s in sizes]
+    if not asked.where("dense").isEmpty():
+        many = slots_of(F.col("t")) * 2 > window
+        templates = held(templates, "v", F.when(many, valued(F.col("raw"), F.col("t"))).otherwise(F.array().cast("array<string>")))
+        each.append(_dense(F.col("t"), F.col("v"), window))
+    templates = templates.withColumn("sum", F.xxhash64("text"))
+    arrays = F.flatten(F.array(*each))
     rows = templates.select("id", "sum", F.explode(arrays).alias("w")).select("id", "sum", "w.size", "w.pos", "w.h")
     rows = spill(rows.join(F.broadcast(keys) if small else keys, ["size", "h"], "left_semi"), "windows")
-    hits = rows.join(F.broadcast(asked) if small else asked, ["size", "h"]).select("id", "sum", "pos", "item", "at", "size", "total", "slots")
-    counts = F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.first("total").alias("item_windows"), F.sum("slots").alias("slots")
-    enough = F.col("n_windows") >= F.least(F.lit(matches), F.col("item_windows"))
+    hits = rows.join(F.broadcast(asked) if small else asked, ["size", "h"]).select("id", "sum", "pos", "item", "at", "size", "total", "usual", "slots", "dense")
+    counts = [F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.size(F.collect_set(F.when(~F.col("dense"), F.col("at")))).alias("n_usual")]
+    counts += [F.first("total").alias("item_windows"), F.first("usual").alias("usual"), F.sum("slots").alias("slots")]
+    of_all = F.col("n_windows") >= F.least(F.lit(matches), F.col("item_windows"))
+    enough = of_all | ((F.col("usual") > 0) & (F.col("n_usual") >= F.least(F.lit(matches), F.col("usual"))))
     pairs = spill(hits.groupBy("id", "sum", "item").agg(*counts).where(enough), "pairs")
     # slot values, only of pairs that have slots: over the whole text (level 0), near distances (1), one distance (2)
     open_pairs = pairs.where("slots > 0").select("id", "sum", "item")
@@ -114,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     said = docs.select("id", F.xxhash64("text").alias("sum"), "text").join(open_pairs.select("id", "sum").distinct(), ["id", "sum"])
     said = said.dropDuplicates(["id", "sum"]).select("id", "sum", raw_tokens(F.col("text")).alias("raw"))
     items = held(held(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), "asked", raw_tokens(F.col("text"))), "t", canonical(F.col("asked"))).select("item", "asked", "t")
-    values = places.join(said, ["id", "sum"]).join(items, "item").where(F.get("t", F.col("q")).isin("<num>", "<unit>", "<name>"))
+    values = places.join(said, ["id", "sum"]).join(items, "item").where(F.get("t", F.col("q")).isin(*SLOTS))
     values = values.select(*one, bare(F.get("asked", F.col("q"))).alias("of"), bare(F.get("raw", F.col("p"))).alias("to"))
     judged = values.groupBy(*one, "of").agg(F.count_distinct("to").alias("ways")).groupBy(*one).agg(F.count(F.lit(1)).alias("n_slots"), (F.max("ways") == 1).alias("consistent"))
     held_in = whole.select(*one).join(judged, one, "left").where(F.coalesce("consistent", F.lit(True)))

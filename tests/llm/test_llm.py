@@ -279,6 +279,13 @@ def test_each_occurrence_of_an_item_is_judged_by_itself(spark):
     assert {1, 2, 3} <= got.keys() and all(got[i]["n_windows"] >= templates.MATCHES for i in (1, 2, 3))
 
 
+def test_items_of_slots_only_are_found_verbatim(spark):
+    series, scores = "2 4 6 8 10 12 14 16 18 20 22 24 26 28 30", "totals Anna Berg 12 Carl Dahl 15 Emil Falk 19 Greta Holm 23 Ivar Juhl 31"
+    texts = [f"some words before {series} and after", f"the {scores} so far", series.replace("2 4", "3 5").replace("1", "7"), "clean text with 1 2 3 numbers"]
+    bench = spark.createDataFrame([(1, series), (2, scores)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in templates.contaminated(docs(spark, texts), bench).collect()} == {(1, 1), (2, 2)}
+
+
 def test_benchmark_passages_are_found(spark, sf, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in templates.op1_decontamination(spark, sf).collect()}
