@@ -313,6 +313,23 @@ def test_lines(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_every_frequent_line_of_a_stretch_has_a_partner(spark):
+    a, b = "passage a is here", "passage b is here"
+    texts = [f"head\n{a}\ntail", f"other head\n{b}\nother tail", *(f"of a {i}\n{a}\nend a {i}" for i in range(25)), *(f"of b {i}\n{b}\nend b {i}" for i in range(30)), f"mine\n{a}\n{b}\nmy end"]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")).collect()}
+    assert got[len(texts)]["text"] == "mine\nmy end" and got[len(texts)]["partners"] == [1, 2]
+
+
+def test_lines_that_are_not_unique_are_aligned():
+    a, b = ["x", "s", "s", "t", "t", "y"], ["p", "s", "q", "s", "t", "r", "t", "z"]
+    assert lines.common_lines(a, b) == [1, 3, 4, 6]
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice([None, 1, 2, 3, 4, 5]) for _ in range(rng.randrange(14))] for _ in range(2))
+        ends = [(-1, -1), *lines.patience(a, b), (len(a), len(b))]
+        assert all(not ({*a[p + 1 : q]} & {*b[r + 1 : s]}) - {None} for (p, r), (q, s) in zip(ends, ends[1:], strict=False))
+
+
 def test_patience():
     rng = random.Random(4)
     for _ in range(200):
