@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoflow.llm.common import documents, held, spill
@@ -81,7 +81,8 @@ def license_matches(docs: DataFrame, licenses: list[tuple[str, str]] | None = No
     For each length of notice, text windows a quarter longer overlap so that one holds any whole notice. MinHash bands
     retrieve notices for windows; a notice counts if the window has at least `containment` of its five-word shingles.
     Texts without any shingle of a notice are passed over first: they cannot match. `at_word` is the first word of the
-    first best window, and a lesser match beside a better one does not count. Null, empty and shorter texts match nothing; notices of under five words cannot be asked for;
+    first best window. The words of a match run from its first to its last shingle of the notice; a lesser match whose
+    words overlap those of a better one does not count. Null, empty and shorter texts match nothing; notices of under five words cannot be asked for;
     repeated rows of one id give one row a license; rows with null ids are left out.
     """
     spark = docs.sparkSession
@@ -101,11 +102,18 @@ def license_matches(docs: DataFrame, licenses: list[tuple[str, str]] | None = No
     hashed = windows.select("id", "length", "at", "w", F.explode(keys(F.col("w"), n)).alias("key"))
     notices = spark.createDataFrame([(r["no"], r["license"], r["length"], r["wanted"]) for r in asked], "no int, license string, length int, wanted array<bigint>")
     notices = notices.select("no", "license", "length", "wanted", F.explode(keys(F.col("wanted"), n)).alias("key"))
-    found = hashed.join(F.broadcast(notices), ["length", "key"]).select("id", "license", "at", "length", (F.size(F.array_intersect("w", "wanted")) / F.size("wanted")).alias("containment"))
-    found = found.where(F.col("containment") >= containment)
-    # a better match nearby stands for this place: versions of one license share most of their words
-    near = Window.partitionBy("id").orderBy("at").rangeBetween(-max(lengths), max(lengths))
-    found = found.withColumn("top", F.max("containment").over(near)).where(F.col("containment") == F.col("top"))
+    met = hashed.join(F.broadcast(notices), ["length", "key"]).select("id", "license", "at", "length", "w", "wanted", (F.size(F.array_intersect("w", "wanted")) / F.size("wanted")).alias("containment"))
+    places = F.filter(F.transform("w", lambda h, i: F.when(F.array_contains("wanted", h), i)), lambda i: i.isNotNull())
+    met = met.where(F.col("containment") >= containment).select("id", "license", "at", "length", "containment", places.alias("places"))
+    met = met.select("id", "license", "at", "length", "containment", (F.col("at") + F.array_min("places")).alias("begins"), (F.col("at") + F.array_max("places") + WORDS - 1).alias("ends"))
+    met = spill(met.distinct(), "matches")
+    # a better match of the same words stands for them: versions of one license share most of their words
+    cells = F.explode(F.sequence(F.floor(F.col("begins") / max(lengths)), F.floor(F.col("ends") / max(lengths)))).alias("cell")
+    spans = met.select("id", "containment", "begins", "ends").distinct().select("*", cells)
+    better = spans.select("id", "cell", *(F.col(c).alias(f"b_{c}") for c in ("containment", "begins", "ends")))
+    overlap = (F.col("b_containment") > F.col("containment")) & (F.col("b_begins") <= F.col("ends")) & (F.col("begins") <= F.col("b_ends"))
+    lesser = spans.join(better, ["id", "cell"]).where(overlap).select("id", "containment", "begins", "ends").distinct()
+    found = met.join(lesser, ["id", "containment", "begins", "ends"], "left_anti")
     best = F.min(F.struct((-F.col("containment")).alias("c"), F.col("at").alias("at"))).alias("best")
     return found.groupBy(F.col("id").alias(id), "license").agg(best, F.count_distinct("length", "at").alias("n_windows")).select(id, "license", (-F.col("best.c")).alias("containment"), F.col("best.at").alias("at_word"), "n_windows")
 

@@ -303,6 +303,14 @@ def test_licenses(spark):
     assert licenses.license_matches(docs(spark, [])).count() == 0
 
 
+def test_a_license_beside_a_better_match_counts(spark):
+    bsd = next(t for n, t in licenses.LICENSES if n == "BSD").replace("are met", "hold here")
+    apache = licenses.LICENSES[5][1].replace("express or implied", "express or tacit")
+    texts = [f"Licensed under the MIT License. {bsd}", f"{apache} Licensed under the MIT License.", "This work is licensed under the GNU General Public License, version 3."]
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_matches(docs(spark, texts)).collect()}
+    assert got == {(1, "MIT"), (1, "BSD"), (2, "Apache-2.0"), (2, "MIT"), (3, "GPL-3.0")}
+
+
 def test_lines(spark):
     shared = "\n".join(f"shared line number {i}" for i in range(6))
     texts = ["head one\n" + shared + "\nown end", "another head\n" + shared + "\nother end", None, "", "quite alone\nwith lines"]
