@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from geoflow.llm import sql
 from geoflow.llm.bpe import op5_bpe
 from geoflow.llm.html import op8_html_text
 from geoflow.llm.licenses import op3_license_scan
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": sql.OP1}

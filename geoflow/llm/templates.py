@@ -19,60 +19,71 @@ UNITS = (
     "degree degrees celsius fahrenheit percent dollar dollars cent cents euro euros usd eur mph kmh kph w kw kwh watt watts volt volts v hz khz mhz ghz b kb mb gb tb"
 ).split()
 SLOTS = ("<num>", "<unit>", "<name>")
-NUMBER = r"^[+\-]?[$€£]?[0-9][0-9.,:/]*%?$"
-NAME = r"^\p{Lu}\p{Ll}+(-\p{Lu}\p{Ll}+)*$"
-EDGES = r"^[^\p{L}\p{N}$€£+\-]+|[^\p{L}\p{N}%]+$"
+#: Begins a word that begins a sentence, in cleaned texts.
+MARK = "\x02"
+SPACE, SENTENCE = "[\\x09-\\x0d \\x02]++", r"([.!?:][\"')\]]*+) "
+HEAD, TAIL = r"[^\p{L}\p{N}$€£+\- \x02]++", r"[^\p{L}\p{N}% ]++(?= )"
+EDGES = rf"(?<=[ \x02]){HEAD}(?:{TAIL})?|(?<=[\p{{L}}\p{{N}}% ]){TAIL}"
+NUMBER = r"(?<=[ \x02])[+\-]?[$€£]?[0-9][0-9.,:/]*+%?+(?= )"
+UNIT = rf"(?<=<num> )(?i:{'|'.join(UNITS)})(?= )"
+NAME = r"(?<= )\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+(?= )"
+
+
+def cleaned(text: Column) -> Column:
+    """Words with one space before and after each, less the punctuation at their edges; MARK before those that begin a
+    sentence. The whole text is rewritten at once: one pass of a pattern costs far less than a call a word.
+    """
+    spaced = F.ltrim(F.regexp_replace(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), SPACE, " "))
+    return F.regexp_replace(F.concat(F.lit(f" {MARK}"), F.regexp_replace(spaced, SENTENCE, f"$1 {MARK}")), EDGES, "")
 
 
-def raw_tokens(text: Column) -> Column:
-    """Words between white space, as they stand; null is empty."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+def _words(clean: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.translate(clean, MARK, "")), " "), "")
 
 
-def canonical(raw: Column) -> Column:
-    """Template tokens, one a raw word: <num>, <unit>, <name>, else the bare word in lower case.
+def template(clean: Column) -> Column:
+    """Template tokens: <num>, <unit>, <name>, else the word in lower case.
 
-    A name is a capitalised word that does not begin a sentence; a unit follows a number.
+    A unit follows a number; a name is a capitalised word. Neither begins a sentence.
     """
-    before = F.slice(F.concat(F.array(F.lit("")), raw), 1, F.size(raw))
+    return _words(F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, NUMBER, "<num>"), UNIT, "<unit>"), NAME, "<name>"))
 
-    def one(word: Column, last: Column) -> Column:
-        core = F.regexp_replace(word, EDGES, "")
-        bare = F.lower(core)
-        follows = F.regexp_replace(last, EDGES, "").rlike(NUMBER)
-        inside = (last != "") & ~last.rlike(r"[.!?:][\"')\]]*$")
-        plain = F.when(core.rlike(NUMBER), "<num>").otherwise(bare)
-        odd = F.when(bare.isin(UNITS) & follows, "<unit>").when(core.rlike(NAME) & inside, "<name>")
-        return F.coalesce(odd, plain)
 
-    return F.zip_with(raw, before, one)
+def values(clean: Column) -> Column:
+    """The words themselves, as many as `template` has tokens."""
+    return _words(clean)
 
 
-def slots_of(tokens: Column) -> Column:
-    """How many template tokens are placeholders."""
-    return F.size(F.filter(tokens, lambda x: x.isin(*SLOTS)))
+def is_slot(token: Column) -> Column:
+    return token.isin(*SLOTS)
 
 
-def valued(raw: Column, tokens: Column) -> Column:
-    """Template tokens with the values of the placeholders."""
-    return F.zip_with(raw, tokens, lambda r, x: F.when(x.isin(*SLOTS), F.concat(x, F.lit("\x01"), F.lower(F.regexp_replace(r, EDGES, "")))).otherwise(x))
+def rolled(items: Column, size: int, join) -> Column:
+    """`join` over every `size` consecutive items, by doubling: runs of 1, 2, 4, ... put together; [] where there are fewer."""
+    once = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  a lambda's variable is computed once
 
+    def step(runs: Column, power: int, rest: int, out: Column | None) -> Column:
+        """`runs`: of `power` items; `rest`: how many more such runs, in binary; `out`: what the lower bits gave."""
+        if rest & 1:
+            out = runs if out is None else F.zip_with(runs, F.slice(out, power + 1, 1 << 30), join)
+        if rest == 1:
+            return out
+        wider = F.zip_with(runs, F.slice(runs, power + 1, 1 << 30), join)
+        return once(wider, lambda r: step(r, power * 2, rest >> 1, out))
 
-def _hash(tokens: Column, size: int) -> Column:
-    """Hashes of all windows of `size` tokens, in order."""
-    n = F.size(tokens) - size
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, size)))).otherwise(F.array().cast("array<bigint>"))
+    return once(items, lambda x: F.slice(step(x, 1, size, None), 1, F.greatest(F.size(x) - size + 1, F.lit(0))))
 
 
-def _placed(tokens: Column, size: int) -> Column:
-    return F.transform(_hash(tokens, size), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("h")))
+def window_hashes(tokens: Column, size: int) -> Column:
+    """Hashes of every window of `size` tokens, in order."""
+    return rolled(F.transform(tokens, lambda x: F.xxhash64(x)), size, lambda a, b: F.xxhash64(a, b))
 
 
-def _dense(tokens: Column, values: Column, size: int) -> Column:
-    """The windows of more placeholders than words, by their values."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - size, F.lit(0))), lambda i: slots_of(F.slice(tokens, i + 1, size)) * 2 > size)
-    windows = F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(values, i + 1, size)).alias("h")))
-    return F.when((F.size(tokens) >= size) & (slots_of(tokens) * 2 > size), windows).otherwise(F.array().cast("array<struct<size:int,pos:int,h:bigint>>"))
+def dense_hashes(tokens: Column, said: Column, size: int) -> Column:
+    """Hashes of the values of every window of more placeholders than words; null for other windows."""
+    slots = rolled(F.transform(tokens, lambda x: is_slot(x).cast("int")), size, lambda a, b: a + b)
+    both = F.zip_with(tokens, said, lambda x, v: F.when(is_slot(x), F.xxhash64(x, v)).otherwise(F.xxhash64(x)))
+    return F.zip_with(slots, rolled(both, size, lambda a, b: F.xxhash64(a, b)), lambda n, h: F.when(n * 2 > size, h))
 
 
 def benchmark_windows(benchmark: DataFrame, id: str, text: str, window: int) -> DataFrame:
@@ -81,13 +92,15 @@ def benchmark_windows(benchmark: DataFrame, id: str, text: str, window: int) ->
     Windows of more placeholders than words say too little (`dense`), unless they are their item's only one: they stand
     with the values of their slots. `total` counts all windows of an item, `usual` those that are not dense.
     """
-    items = held(held(benchmark.select(F.col(id).alias("item"), F.col(text).alias("text")), "raw", raw_tokens(F.col("text"))), "t", canonical(F.col("raw"))).where(F.size("t") > 0)
-    items = held(items, "v", valued(F.col("raw"), F.col("t"))).withColumn("size", F.least(F.lit(window), F.size("t")))
-    windows = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("size")), lambda i: F.struct(F.slice("t", i + 1, F.col("size")).alias("w"), F.slice("v", i + 1, F.col("size")).alias("v")))
-    each = items.select("item", "size", F.posexplode(windows).alias("at", "x"), (F.size("t") - F.col("size") + 1).alias("n")).select("item", "size", "at", "n", "x.w", "x.v")
-    each = each.withColumn("slots", slots_of(F.col("w"))).withColumn("dense", (F.col("slots") * 2 > F.col("size")) & (F.col("n") > 1))
-    each = each.withColumn("usual", F.sum((~F.col("dense")).cast("int")).over(_by("item")))
-    return each.select("item", "at", "size", F.when(F.col("dense"), F.xxhash64("v")).otherwise(F.xxhash64("w")).alias("h"), F.col("n").alias("total"), "usual", "slots", "dense")
+    items = held(benchmark.select(F.col(id).alias("item"), F.col(text).cast("string").alias("text")), "c", cleaned(F.col("text")))
+    items = held(items, "t", template(F.col("c"))).where("item IS NOT NULL AND size(t) > 0").withColumn("size", F.least(F.lit(window), F.size("t")))
+    of = lambda make: F.coalesce(*(F.when(F.col("size") == s, make(s)) for s in range(1, window + 1)))
+    items = items.withColumn("h", of(lambda s: window_hashes(F.col("t"), s))).withColumn("v", of(lambda s: dense_hashes(F.col("t"), values(F.col("c")), s)))
+    items = items.withColumn("slots", of(lambda s: rolled(F.transform("t", lambda x: is_slot(x).cast("int")), s, lambda a, b: a + b)))
+    items = items.withColumn("usual", F.when(F.size("h") > 1, F.size(F.filter("v", lambda x: x.isNull()))).otherwise(F.size("h")))
+    each = items.select("item", "size", F.size("h").alias("total"), "usual", F.posexplode(F.arrays_zip("h", "v", "slots")).alias("at", "x"))
+    dense = F.col("x.v").isNotNull() & (F.col("total") > 1)
+    return each.select("item", "at", "size", F.when(dense, F.col("x.v")).otherwise(F.col("x.h")).alias("h"), "total", "usual", F.col("x.slots").alias("slots"), dense.alias("dense"))
 
 
 def _by(*columns: str):
@@ -95,34 +108,29 @@ def _by(*columns: str):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, matches: int = MATCHES) -> DataFrame:
-    """(id, item_id, n_windows, item_windows, n_slots, consistent) for each document that holds a benchmark item.
+    """(id, item_id, n_windows, item_windows, n_slots) for each document that holds a benchmark item.
 
     Both sides become templates, and windows of `window` template tokens meet in a hash join. A pair counts from
     `matches` different windows of the item, or all of a shorter item, or all that are not dense where those are fewer;
-    dense windows (see `benchmark_windows`) meet only with equal values. Where windows have slots, each value of the
-    item must stand for one value (n_slots values) throughout the document, or in one occurrence that has as many
-    windows by itself: hits at one distance between document and item, or at near distances. So a pair is left out only
-    if every occurrence mixes values; a stray window or a second copy takes none away. Null or empty texts and items match nothing; a repeated row gives its
-    pairs once; rows with null ids are left out.
+    dense windows (see `benchmark_windows`) meet only with equal values. Where windows have slots, each slot of the
+    item must have one value (n_slots slots) throughout the document, or in one occurrence that has as many windows by
+    itself: hits at one distance between document and item, or at near distances. So a number that stands in two roles
+    may become two numbers, a stray window or a second copy takes no hit away, and a pair is left out only if its
+    windows are gathered from places that disagree. Null or empty texts and items match nothing; a repeated row gives
+    its pairs once; rows with null ids are left out; ties do not arise, as every window that meets counts.
     """
     asked = spill(benchmark_windows(benchmark, item_id, item_text, window), "benchmark")
     docs = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL")
-    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most `window` numbers
-    if not sizes:
-        sizes = [window]
     small = asked.count() <= BROADCAST
-    keys = asked.select("size", "h").distinct()
-    templates = held(held(docs, "raw", raw_tokens(F.col("text"))), "t", canonical(F.col("raw")))
-    each = [_placed(F.col("t"), s) for s in sizes]
-    if not asked.where("dense").isEmpty():
-        many = slots_of(F.col("t")) * 2 > window
-        templates = held(templates, "v", F.when(many, valued(F.col("raw"), F.col("t"))).otherwise(F.array().cast("array<string>")))
-        each.append(_dense(F.col("t"), F.col("v"), window))
-    templates = templates.withColumn("sum", F.xxhash64("text"))
-    arrays = F.flatten(F.array(*each))
-    rows = templates.select("id", "sum", F.explode(arrays).alias("w")).select("id", "sum", "w.size", "w.pos", "w.h")
-    rows = spill(rows.join(F.broadcast(keys) if small else keys, ["size", "h"], "left_semi"), "windows")
-    hits = rows.join(F.broadcast(asked) if small else asked, ["size", "h"]).select("id", "sum", "pos", "item", "at", "size", "total", "usual", "slots", "dense")
+    kinds = {(r["size"], r["dense"]) for r in asked.select("size", "dense").distinct().collect()} or {(window, False)}  # at most `window` + 1
+    keys = asked.select("size", "dense", "h").distinct()
+    texts = held(docs.withColumn("sum", F.xxhash64("text")), "c", cleaned(F.col("text"))).select("id", "sum", "c")
+    texts = held(texts, "t", template(F.col("c")))
+    made = lambda s, dense: dense_hashes(F.col("t"), values(F.col("c")), s) if dense else window_hashes(F.col("t"), s)
+    each = F.array(*(F.struct(F.lit(s).alias("size"), F.lit(dense).alias("dense"), made(s, dense).alias("h")) for s, dense in sorted(kinds)))
+    rows = texts.select("id", "sum", F.explode(each).alias("w")).select("id", "sum", "w.size", "w.dense", F.posexplode("w.h").alias("pos", "h")).where("h IS NOT NULL")
+    rows = spill(rows.join(F.broadcast(keys) if small else keys, ["size", "dense", "h"], "left_semi"), "windows")
+    hits = rows.join(F.broadcast(asked) if small else asked, ["size", "dense", "h"]).select("id", "sum", "pos", "item", "at", "size", "total", "usual", "slots", "dense")
     counts = [F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.size(F.collect_set(F.when(~F.col("dense"), F.col("at")))).alias("n_usual")]
     counts += [F.first("total").alias("item_windows"), F.first("usual").alias("usual"), F.sum("slots").alias("slots")]
     of_all = F.col("n_windows") >= F.least(F.lit(matches), F.col("item_windows"))
@@ -133,21 +141,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     by = _by("id", "sum", "item").orderBy("diagonal")
     occurrences = hits.join(open_pairs, ["id", "sum", "item"]).withColumn("diagonal", F.col("pos") - F.col("at"))
     occurrences = occurrences.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) >= F.col("size")).cast("int"), F.lit(0)))
-    occurrences = occurrences.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    occurrences = occurrences.withColumn("run", F.sum("new").over(by.rangeBetween(Window.unboundedPreceding, 0)).cast("long"))
     levels = F.array(*(F.struct(F.lit(k).alias("level"), part.cast("long").alias("part")) for k, part in enumerate((F.lit(0), F.col("run"), F.col("diagonal")))))
     occurrences = spill(occurrences.withColumn("l", F.explode(levels)).select(*hits.columns, "l.level", "l.part"), "occurrences")
     one = ["id", "sum", "item", "level", "part"]
     whole = occurrences.groupBy(*one).agg(*counts).where(enough)
     places = occurrences.where("slots > 0").select(*one, F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.struct((F.col("pos") + k).alias("p"), (F.col("at") + k).alias("q")))).alias("x")).select(*one, "x.p", "x.q").distinct()
-    bare = lambda c: F.lower(F.regexp_replace(c, EDGES, ""))
     said = docs.select("id", F.xxhash64("text").alias("sum"), "text").join(open_pairs.select("id", "sum").distinct(), ["id", "sum"])
-    said = said.dropDuplicates(["id", "sum"]).select("id", "sum", raw_tokens(F.col("text")).alias("raw"))
-    items = held(held(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), "asked", raw_tokens(F.col("text"))), "t", canonical(F.col("asked"))).select("item", "asked", "t")
-    values = places.join(said, ["id", "sum"]).join(items, "item").where(F.get("t", F.col("q")).isin(*SLOTS))
-    values = values.select(*one, bare(F.get("asked", F.col("q"))).alias("of"), bare(F.get("raw", F.col("p"))).alias("to"))
-    judged = values.groupBy(*one, "of").agg(F.count_distinct("to").alias("ways")).groupBy(*one).agg(F.count(F.lit(1)).alias("n_slots"), (F.max("ways") == 1).alias("consistent"))
+    said = held(said.dropDuplicates(["id", "sum"]), "raw", values(cleaned(F.col("text")))).select("id", "sum", "raw")
+    items = held(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")), "t", template(cleaned(F.col("text")))).select("item", "t")
+    filled = places.join(said, ["id", "sum"]).join(items, "item").where(is_slot(F.get("t", F.col("q")))).select(*one, "q", F.get("raw", F.col("p")).alias("value"))
+    judged = filled.groupBy(*one, "q").agg(F.count_distinct("value").alias("ways")).groupBy(*one).agg(F.count(F.lit(1)).alias("n_slots"), (F.max("ways") == 1).alias("consistent"))
     held_in = whole.select(*one).join(judged, one, "left").where(F.coalesce("consistent", F.lit(True)))
-    held_in = held_in.groupBy("id", "sum", "item").agg(F.min_by("n_slots", F.struct("level", "part")).alias("n_slots"))
+    held_in = held_in.groupBy("id", "sum", "item").agg(F.max("n_slots").alias("n_slots"))
     out = pairs.where("slots = 0").withColumn("n_slots", F.lit(0).cast("long")).unionByName(pairs.where("slots > 0").join(held_in, ["id", "sum", "item"]))
     out = out.groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
     return out.select(F.col("id").alias(id), F.col("item").alias("item_id"), "n_windows", F.col("item_windows").cast("long"), F.col("n_slots").cast("long"))

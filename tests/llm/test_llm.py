@@ -279,6 +279,23 @@ def test_each_occurrence_of_an_item_is_judged_by_itself(spark):
     assert {1, 2, 3} <= got.keys() and all(got[i]["n_windows"] >= templates.MATCHES for i in (1, 2, 3))
 
 
+def test_one_number_in_two_roles_may_become_two(spark):
+    item = "Maria has 5 loaves of bread in the kitchen and later she bakes 5 cakes for the school fair on the green; how many things does she have then?"
+    texts = [item.replace("5 loaves", "7 loaves").replace("5 cakes", "9 cakes"), item.replace("5", "8"), item, f"{item} {item.replace('5', '6')}", "Maria has 5 loaves of bread"]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_slots"] for r in templates.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 2}
+
+
+def test_windows_gathered_from_places_that_disagree_do_not_count(spark):
+    item = "one two three 5 four six eight nine ten red 7 blue green grey white black brown pink"
+    w = item.split()
+    parts = [" ".join(["12" if x == "5" else "13" if x == "7" else x for x in w[i : i + 8]]) if i % 2 else " ".join(w[i : i + 8]) for i in range(3, 10)]
+    texts = [" far from it all are very many other words ".join(parts), item]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in templates.contaminated(docs(spark, texts), bench).where("doc_id IS NOT NULL").collect()] == [2]
+
+
 def test_items_of_slots_only_are_found_verbatim(spark):
     series, scores = "2 4 6 8 10 12 14 16 18 20 22 24 26 28 30", "totals Anna Berg 12 Carl Dahl 15 Emil Falk 19 Greta Holm 23 Ivar Juhl 31"
     texts = [f"some words before {series} and after", f"the {scores} so far", series.replace("2 4", "3 5").replace("1", "7"), "clean text with 1 2 3 numbers"]
