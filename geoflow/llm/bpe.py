@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import documents
+from geoflow.llm.common import documents, in_arrow
 
 #: Pre-tokenization of byte-level BPE (fixed value), with white space written out.
 _S = r"\t-\r \x85\xa0  -     　"
@@ -19,8 +19,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}
 NONE = np.int64(1) << 62
 #: Words of up to so many symbols go through the trees side by side.
 SHORT = 64
-#: Distinct pieces that a worker remembers, and symbols in one array of trees.
-MEMO, AT_ONCE = 400_000, 1 << 20
+#: Bytes of distinct pieces and their ids that a task remembers, bytes that each takes besides, and symbols in one array of trees.
+MEMO, BESIDES, AT_ONCE = 32 << 20, 300, 1 << 20
 
 
 def _byte_of() -> dict[str, int]:
@@ -190,6 +190,7 @@ class Encoder:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.pieces: dict[str, np.ndarray] = {}
+        self.held = 0
 
     def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
         v, new = self.v, []
@@ -210,8 +211,12 @@ class Encoder:
         new = [p for p in distinct if p not in memo]
         found = dict(zip(new, self.encode_pieces(new), strict=True))
         each = [memo[p] if p in memo else found[p] for p in distinct]
-        if len(memo) < MEMO:  # frequent pieces come early
-            memo.update((p, x) for p, x in found.items() if len(p) < 64)
+        for p, x in found.items():  # frequent pieces come early
+            if self.held >= MEMO:
+                break
+            if len(p) < 64:
+                memo[p] = x.astype("int32")
+                self.held += BESIDES + len(p) + x.size * 4
         size = np.array([len(x) for x in each], "int64")
         start = np.cumsum(size) - size
         pool = np.concatenate([np.zeros(0, "int64"), *each])
@@ -269,7 +274,7 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", digest: bool =
                 columns = [pa.array(n, pa.int64()), pa.array(a, pa.string() if digest else pa.list_(pa.int32())), pa.array(b, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *made])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own bound on an Arrow batch, and the smaller one that in_arrow sets in its place.
+_BATCH, _DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
@@ -26,6 +30,37 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers are reused, and stand beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)` in batches of at most BATCH_BYTES, so that memory does not follow the length of texts.
+
+    A bound that the session sets otherwise stays. At the end of a task, the worker gives its free memory back.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def released(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(released, schema)
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """`df` with `value` computed once a row: a generator's output, which no later lambda computes again."""
     return df.select("*", F.explode(F.array(value)).alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import spill
+from geoflow.llm.common import in_arrow, spill
 
 #: A subtree is a template of its host if at least so many of the host's pages, and this share of them, have it.
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -159,7 +159,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64())], ["host", "h"])
 
     known = pages.where("host <> ''")
-    seen = known.select("host", "html").mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    seen = in_arrow(known.select("host", "html"), run, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     of = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     return seen.join(of, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
@@ -184,7 +184,7 @@ def extract_text(df: DataFrame, url: str = "url", page: str = "html") -> DataFra
             out = [main_text(p.as_py(), frozenset(h & (1 << 64) - 1 for h in t.as_py() or ())) for p, t in zip(batch.column("html"), batch.column("templates"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(out, pa.string())], schema.names)
 
-    done = rows.mapInArrow(run, schema)
+    done = in_arrow(rows, run, schema)
     return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import documents, spill
+from geoflow.llm.common import documents, in_arrow, spill
 
 #: Labelled rows used at most: above it, rows are taken by a hash of their id.
 MAX_LABELLED = 500_000
@@ -92,7 +92,7 @@ def document_statistics(df: DataFrame, id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(id), x], [id, "x"])
 
     df = df.select(F.col(id), F.col(text).cast("string").alias("_text"))
-    return df.mapInArrow(run, df.select(id).schema.add("x", T.ArrayType(T.DoubleType())))
+    return in_arrow(df, run, df.select(id).schema.add("x", T.ArrayType(T.DoubleType())))
 
 
 def _matrix(batch) -> np.ndarray:
@@ -127,7 +127,7 @@ def fit(train: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in a], pa.binary())], ["half", "sums"])
 
     d, parts = FEATURES + 1, {0: 0.0, 1: 0.0}
-    for row in train.mapInArrow(sums, "half int, sums binary").toLocalIterator():
+    for row in in_arrow(train, sums, "half int, sums binary").toLocalIterator():
         parts[row["half"]] = parts[row["half"]] + np.frombuffer(row["sums"]).reshape(d, d + 1)
 
     def solve(a: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def fit(train: DataFrame) -> Model | None:
         has = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int64()), pa.array(n[has]), pa.array(s[has])], ["at", "n", "s"])
 
-    bins = train.mapInArrow(binned, "at long, n double, s double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("at").collect()
+    bins = in_arrow(train, binned, "at long, n double, s double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("at").collect()
     n, s = np.array([b["n"] for b in bins]), np.array([b["s"] for b in bins])
     model.steps = (np.array([(b["at"] + 0.5) / BINS * 2 - 0.5 for b in bins]), isotonic(s / n, n))
     return model
@@ -180,7 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
             score = model.score(_matrix(batch)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(score, pa.float64())], [id, "score"])
 
-    scored = stats.mapInArrow(run, stats.select(id).schema.add("score", "double", True))
+    scored = in_arrow(stats, run, stats.select(id).schema.add("score", "double", True))
     return scored.select(id, F.coalesce(share == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

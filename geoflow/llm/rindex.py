@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import documents, spill
+from geoflow.llm.common import documents, in_arrow, spill
 
 WINDOW, GRAM = 200, 16
 #: Bytes of distinct fragments that a block of the index holds; a hash with more is dealt out by whole windows.
@@ -218,7 +218,7 @@ def _keyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 take = pa.array(which)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("sum").take(take), pa.array(start), pa.array(n), pa.array(key.view("int64")), pa.array(content.view("int64")), pa.array(again)], names)
 
-    return docs.mapInArrow(run, "id long, sum long, start long, n long, key long, content long, again boolean")
+    return in_arrow(docs, run, "id long, sum long, start long, n long, key long, content long, again boolean")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["key", "content", "times", "bytes"])
 
-    return rows.mapInArrow(run, "key long, content long, times long, bytes binary").dropDuplicates(["key", "content"])
+    return in_arrow(rows, run, "key long, content long, times long, bytes binary").dropDuplicates(["key", "content"])
 
 
 def _index_blocks(strings: DataFrame, window: int, block: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _index_blocks(strings: DataFrame, window: int, block: int) -> DataFrame:
             yield answer(rows)
 
     # partitions hold whole keys in order, and a block whole keys of about `block` bytes
-    return strings.select("key", "content", "bytes").repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, "key long, content long, spans array<struct<first:long,last:long>>")
+    return in_arrow(strings.select("key", "content", "bytes").repartition("key").sortWithinPartitions("key", "content"), run, "key long, content long, spans array<struct<first:long,last:long>>")
 
 
 def _by_windows(strings: DataFrame, window: int) -> DataFrame:
@@ -289,7 +289,7 @@ def _by_windows(strings: DataFrame, window: int) -> DataFrame:
                 n = len(start)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key.as_py())), pa.array(np.full(n, content.as_py())), pa.array(start), pa.array(h.view("int64"))], ["key", "content", "first", "h"])
 
-    rows = strings.mapInArrow(run, "key long, content long, first long, h long")
+    rows = in_arrow(strings, run, "key long, content long, first long, h long")
     # a table, so that adaptive execution can split a window that very many fragments share
     more = spill(rows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h"), "windows")
     hits = rows.join(more, ["key", "h"]).groupBy("key", "content").agg(F.collect_list(F.struct("first", F.col("first").alias("last"))).alias("spans"))
@@ -347,7 +347,7 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", window
                 kept.append(sha256(left).hexdigest() if digest else left)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], [id, "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
-    return rows.mapInArrow(run, f"`{id}` long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
+    return in_arrow(rows, run, f"`{id}` long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

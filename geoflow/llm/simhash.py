@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import components, documents, spill
+from geoflow.llm.common import components, documents, in_arrow, spill
 from geoflow.llm.shingles import shingle_hashes
 
 BITS = 64
@@ -50,7 +51,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int =
             fps = [[one(x.as_py(), n) for x in batch.column("_text")] for n in made.values()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in fps)], [*keep, *made])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def _signed(mask: int) -> int:
@@ -167,28 +168,69 @@ def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.join(asked.distinct(), "sum", "left_semi").groupBy("sum").agg(F.first("_text").alias("_text"))
 
 
+def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(sum, set): the sorted hashes of the shingles of the texts with the sums in `asked`, each text hashed once."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view("int64") for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("sum"), pa.array(sets, pa.list_(pa.int64()))], ["sum", "set"])
+
+    return spill(in_arrow(_texts(docs, asked), run, "sum long, set array<long>"), "sets")
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """`pairs` (a, b: text sums) whose sets of shingles of `words` words have at least this Jaccard similarity."""
     pairs = spill(pairs.select("a", "b").distinct(), "candidates")
-    texts = spill(_texts(docs, pairs.select(F.col("a").alias("sum")).union(pairs.select(F.col("b").alias("sum")))), "asked_texts")
-    both = pairs.join(texts.select(F.col("sum").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("sum").alias("b"), F.col("_text").alias("_b")), "b")
+    sets = _sets(docs, pairs.select(F.col("a").alias("sum")).union(pairs.select(F.col("b").alias("sum"))), words)
+    both = pairs.join(sets.select(F.col("sum").alias("a"), F.col("set").alias("_a")), "a").join(sets.select(F.col("sum").alias("b"), F.col("set").alias("_b")), "b")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        last, y = None, None
         for batch in batches:
             keep = []
-            for a, b, key in zip(batch.column("_a"), batch.column("_b"), batch.column("b").to_pylist(), strict=True):
-                if key != last:  # a leader's rows come together
-                    last, y = key, np.unique(shingle_hashes(b.as_py(), words))
-                x = np.unique(shingle_hashes(a.as_py(), words))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
+            for a, b in zip(batch.column("_a"), batch.column("_b"), strict=True):
+                x, y = (c.values.to_numpy().view("uint64") for c in (a, b))
+                at = np.searchsorted(y, x)
+                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return spill(both.select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long"), "alike")
+    return spill(in_arrow(both.select("a", "b", "_a", "_b"), run, "a long, b long"), "alike")
+
+
+def _prefix(h, common, similarity: float):
+    """The first of a set of n hashes, so many that two sets of this similarity must share one; those in `common` come last."""
+    import numpy as np
+
+    most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    if len(common):
+        h = h[np.argsort(np.isin(h, common), kind="stable")]
+    return h[:most].view("int64").tolist() if len(h) else [0]
+
+
+def _common_places(docs: DataFrame, words: int, similarity: float, bucket: int, most: int = LATE) -> list[int]:
+    """The most common of the shingles that more than `bucket` texts would have in their prefixes by hash alone, `most` at most.
+
+    Which ones these are changes the cost of the search, not its result.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            places = [_prefix(np.unique(shingle_hashes(t.as_py(), words)), (), similarity) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int64()))], ["places"])
+
+    rows = in_arrow(docs.select(F.col("text").cast("string")), run, "places array<long>").select(F.explode("places").alias("place"))
+    sizes = rows.groupBy("place").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket)
+    return sorted(r["place"] for r in sizes.orderBy(F.desc("size"), "place").limit(most).collect())
 
 
 def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -> DataFrame:
@@ -198,7 +240,6 @@ def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -
     The prefix is the least-hashed shingles, those in `late` (sorted) after all others: any one order for all texts is
     right, and one with common shingles last makes small places. A text without words has the one place 0.
     """
-    late = list(late)
     rows = docs.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("sum", F.xxhash64("_text"))
     schema = T.StructType.fromDDL("id long, sum long, n int, b0 long, b1 long, b2 long, b3 long, places array<long>")
 
@@ -212,14 +253,11 @@ def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -
             for k, t in enumerate(batch.column("_text")):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 odd[k] = np.packbits((np.bincount((h & np.uint64(BITMAP - 1)).astype("int64"), minlength=BITMAP) & 1).astype("uint8"), bitorder="little").view("int64")
-                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
-                if len(common):
-                    h = h[np.argsort(np.isin(h, common), kind="stable")]
                 sizes.append(len(h))
-                out.append(h[:most].view("int64").tolist() if len(h) else [0])
+                out.append(_prefix(h, common, similarity))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(BITMAP // 64)), pa.array(out, pa.list_(pa.int64()))], schema.names)
 
-    known = rows.mapInArrow(run, schema).groupBy("sum").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in schema.names[2:]))
+    known = in_arrow(rows, run, schema).groupBy("sum").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in schema.names[2:]))
     return spill(known, "sketches")
 
 
@@ -233,11 +271,16 @@ def _places(known: DataFrame) -> DataFrame:
 def _may_be_alike(similarity: float) -> Column:
     """Whether the sketches x and y leave room for this similarity; true of every pair that has it.
 
-    Two sets differ in at least as many shingles as slots whose numbers of shingles are not both odd or both even.
+    Two sets differ in at least as many shingles as slots whose numbers of shingles are not both odd or both even, so
+    the sketches of alike sets are within a budget of bits. By pigeonring, from some segment on, every chain of
+    consecutive segments is then within its share of the budget: most pairs fail that before the full distance.
     """
-    x, y = F.col("x.n"), F.col("y.n")
-    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, BITMAP // 64)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    return (F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6) & (differ <= (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    x, y, n = F.col("x.n"), F.col("y.n"), BITMAP // 64
+    budget = (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    differ = [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(n)]
+    sums = [[sum(differ[(i + k) % n] for k in range(1, length)) + differ[i] for length in range(1, n)] for i in range(n)]
+    chained = [reduce(Column.__and__, [d * n <= budget * length for length, d in enumerate(chain, 1)]) for chain in sums]
+    return (F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6) & reduce(Column.__or__, chained) & (sum(differ[1:], differ[0]) <= budget)
 
 
 def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -249,13 +292,8 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket:
     a place that are still in different components are compared pair by pair, those of the largest component of the
     place only with others. Places of more than `block` texts are dealt in blocks; none is capped.
     """
-    known = _sketches(docs, words, similarity, [])
+    known = _sketches(docs, words, similarity, _common_places(docs, words, similarity, bucket))
     places = _places(known)
-    # a bounded number of the most common shingles: which ones come late changes the cost, not the result
-    late = [r["place"] for r in places.where(F.col("size") > bucket).groupBy("place").agg(F.first("size").alias("size")).orderBy(F.desc("size"), "place").limit(LATE).collect()]
-    if late:
-        known = _sketches(docs, words, similarity, sorted(late))
-        places = _places(known)
     sketch = known.select("sum", F.struct("n", "b0", "b1", "b2", "b3").alias("s"))
 
     def sketched(pairs: DataFrame) -> DataFrame:

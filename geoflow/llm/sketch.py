@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import documents, partitions
+from geoflow.llm.common import documents, in_arrow, partitions
 from geoflow.llm.shingles import shingle_hashes
 
 #: Hashes a sketch keeps: the standard error of a resemblance is at most 0.5 / sqrt(K).
@@ -68,7 +68,7 @@ def fingerprint(df: DataFrame, text: str = "text", words: int = 5, k: int = K) -
             out = [str(Sketch.of(x.as_py(), words, k)) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "fingerprint"])
 
-    return df.mapInArrow(run, df.drop("_text").schema.add("fingerprint", "string", True))
+    return in_arrow(df, run, df.drop("_text").schema.add("fingerprint", "string", True))
 
 
 def in_order(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -135,7 +135,7 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", w
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import documents
+from geoflow.llm.common import documents, in_arrow
 
 #: Bytes of text that one call of the tokenizer gets.
 BATCH_BYTES = 1 << 20
-#: Lengths of distinct pieces that a worker remembers.
-MEMO = 400_000
+#: Bytes of distinct pieces that a task remembers the length of, and bytes that each takes besides.
+MEMO, BESIDES = 32 << 20, 180
 
 
 class _Counter:
@@ -22,7 +22,7 @@ class _Counter:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.piecewise, self.memo = False, {}
+        self.piecewise, self.memo, self.held = False, {}, 0
         if path.endswith(".model"):
             import sentencepiece
 
@@ -47,7 +47,7 @@ class _Counter:
         """Lengths of `texts`, asked for in batches of about BATCH_BYTES."""
         out, start, size = [], 0, 0
         for i, text in enumerate(texts):
-            size += len(text)
+            size += len(text) if text.isascii() else len(text.encode())
             if size >= BATCH_BYTES:
                 out += self.many(texts[start : i + 1])
                 start, size = i + 1, 0
@@ -69,8 +69,12 @@ class _Counter:
         new = [x for x in distinct if x not in memo]
         found = dict(zip(new, self.balanced(new), strict=True))
         each = np.array([memo[x] if x in memo else found[x] for x in distinct], "int64")
-        if len(memo) < MEMO:  # frequent pieces come early
-            memo.update((x, n) for x, n in found.items() if len(x) < 64)
+        for x, n in found.items():  # frequent pieces come early
+            if self.held >= MEMO:
+                break
+            if len(x) < 64:
+                memo[x] = n
+                self.held += BESIDES + len(x)
         ends = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy(zero_copy_only=False)])]) if len(distinct) else np.zeros(1, "int64")
         stop = np.cumsum(counts)
         return ends[stop] - ends[stop - counts]
@@ -99,7 +103,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512)
             n = counter.lengths(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), size, pa.array(n, pa.int64())], [*keep, "n_bytes", "n_tokens"])
 
-    return df.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_arrow(df, run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
