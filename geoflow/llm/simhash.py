@@ -182,9 +182,43 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return spill(in_arrow(_texts(docs, asked), run, "sum long, set array<long>"), "sets")
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _wide(h) -> bytes:
+    """Whether the number of hashes in each slot is odd, a bit a slot, four slots or more a hash."""
+    import numpy as np
+
+    slots = 1 << max(8, (4 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(slots - 1)).astype("int64"), minlength=slots) & 1).astype("uint8"), bitorder="little").tobytes()
+
+
+def _left_by_wide(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """`pairs` (a, b) whose wide sketches leave room for this similarity: nearly only those that have it, and all of them.
+
+    A sketch of twice the slots folds to the smaller by joining its halves.
+    """
+    wide = known.select("sum", "n", "wide")
+    both = pairs.join(wide.select(F.col("sum").alias("a"), F.col("n").alias("x"), F.col("wide").alias("_a")), "a").join(wide.select(F.col("sum").alias("b"), F.col("n").alias("y"), F.col("wide").alias("_b")), "b")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch.column("_a"), batch.column("_b"), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = (np.frombuffer(c.as_buffer(), "uint64") for c in (a, b))
+                while len(a) > len(b):
+                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                while len(b) > len(a):
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                keep.append(int(np.bitwise_count(a ^ b).sum()) <= (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return spill(in_arrow(both.select("a", "b", "x", "y", "_a", "_b"), run, "a long, b long"), "near")
+
+
+def _alike(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """`pairs` (a, b: text sums) whose sets of shingles of `words` words have at least this Jaccard similarity."""
-    pairs = spill(pairs.select("a", "b").distinct(), "candidates")
+    pairs = _left_by_wide(spill(pairs.select("a", "b").distinct(), "candidates"), known, similarity)
     sets = _sets(docs, pairs.select(F.col("a").alias("sum")).union(pairs.select(F.col("b").alias("sum"))), words)
     both = pairs.join(sets.select(F.col("sum").alias("a"), F.col("set").alias("_a")), "a").join(sets.select(F.col("sum").alias("b"), F.col("set").alias("_b")), "b")
 
@@ -234,14 +268,14 @@ def _common_places(docs: DataFrame, words: int, similarity: float, bucket: int,
 
 
 def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -> DataFrame:
-    """(sum, least, n, b0-b3, places) of each distinct text of `docs` (id, text): the size of its set of shingles, whether
-    the number of them in each of 256 slots is odd, and the prefix of the set, of which two alike sets must share one.
+    """(sum, least, n, b0-b3, wide, places) of each distinct text of `docs` (id, text): the size of its set of shingles,
+    whether the number of them in each of 256 slots is odd, the same of many slots (see `_wide`), and the prefix of the set, of which two alike sets must share one.
 
     The prefix is the least-hashed shingles, those in `late` (sorted) after all others: any one order for all texts is
     right, and one with common shingles last makes small places. A text without words has the one place 0.
     """
     rows = docs.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("sum", F.xxhash64("_text"))
-    schema = T.StructType.fromDDL("id long, sum long, n int, b0 long, b1 long, b2 long, b3 long, places array<long>")
+    schema = T.StructType.fromDDL("id long, sum long, n int, b0 long, b1 long, b2 long, b3 long, wide binary, places array<long>")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -249,13 +283,14 @@ def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -
 
         common = np.array(late, "int64").view("uint64")
         for batch in batches:
-            sizes, odd, out = [], np.zeros((batch.num_rows, BITMAP // 64), "int64"), []
+            sizes, odd, wide, out = [], np.zeros((batch.num_rows, BITMAP // 64), "int64"), [], []
             for k, t in enumerate(batch.column("_text")):
                 h = np.unique(shingle_hashes(t.as_py(), words))
                 odd[k] = np.packbits((np.bincount((h & np.uint64(BITMAP - 1)).astype("int64"), minlength=BITMAP) & 1).astype("uint8"), bitorder="little").view("int64")
                 sizes.append(len(h))
+                wide.append(_wide(h))
                 out.append(_prefix(h, common, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(BITMAP // 64)), pa.array(out, pa.list_(pa.int64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sum"), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(BITMAP // 64)), pa.array(wide, pa.binary()), pa.array(out, pa.list_(pa.int64()))], schema.names)
 
     known = in_arrow(rows, run, schema).groupBy("sum").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in schema.names[2:]))
     return spill(known, "sketches")
@@ -305,7 +340,7 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket:
     coarse = spill(coarse, "coarse")
     leaders = coarse.groupBy("fp").agg(F.min(F.struct("least", "sum")).alias("r"))
     own = coarse.join(leaders, "fp").select(F.col("sum").alias("a"), F.col("r.sum").alias("b")).where("a <> b")
-    found = _alike(sketched(own.union(places.select(F.col("sum").alias("a"), F.col("first").alias("b")).where("a <> b")).distinct()), docs, words, similarity)
+    found = _alike(sketched(own.union(places.select(F.col("sum").alias("a"), F.col("first").alias("b")).where("a <> b")).distinct()), known, docs, words, similarity)
     label = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = places.join(label, places["sum"] == label.node, "left").select("place", "size", "sum", F.coalesce("label", "sum").alias("label"))
     parts = named.groupBy("place", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -315,7 +350,7 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket:
     left = rows.where("label <> main").select("place", mine.alias("i"), others.alias("j"), F.col("sum").alias("a"), F.col("label").alias("of_a"), F.col("s").alias("x"))
     right = rows.select("place", mine.alias("j"), others.alias("i"), F.col("sum").alias("b"), F.col("label").alias("of_b"), (F.col("label") == F.col("main")).alias("mains"), F.col("s").alias("y"))
     met = left.join(right, ["place", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & (F.col("mains") | (F.col("a") < F.col("b"))) & _may_be_alike(similarity))
-    found = found.unionByName(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, words, similarity))
+    found = found.unionByName(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), known, docs, words, similarity))
     return known.select("sum", "least"), found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
