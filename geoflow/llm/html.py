@@ -1,9 +1,10 @@
-"""Main text of web pages: structural boilerplate and templates that recur across a site go."""
+"""Main text of web pages: subtrees that recur across a site go first, then what HTML marks as not the article."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,13 @@ from pyspark.sql import types as T
 
 from geoflow.llm.common import in_arrow, spill
 
-#: A subtree is a template of its host if at least so many of the host's pages, and this share of them, have it.
+#: A subtree is a template of its host if at least so many of the host's different pages, and this share of them, have it.
 MIN_PAGES, MIN_SHARE = 5, 0.5
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY_BLOCKS = frozenset(["p"])
 SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROOTS = frozenset(["article", "main"])
@@ -32,107 +33,177 @@ NOT_NAMES = frozenset(
     "breadcrumb breadcrumbs footer share sharing social related recommended widget login signup pagination pager toolbar masthead skip paywall".split()
 )
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+_QUOTE = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]+")
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether HTML says that an element is not the article. Inside one, a class or id must be such a name as a whole."""
     if tag in NOT_TEXT or tag == "header" and not in_article:
         return True
     for name, value in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOT_ROLES:
             return True
-        if name in ("class", "id") and tag not in OPEN - {"article"} and not NOT_NAMES.isdisjoint(_WORD.findall(value)):
+        if name in ("class", "id") and tag not in OPEN - {"article"} and not NOT_NAMES.isdisjoint(value.split() if in_article else _WORD.findall(value)):
             return True
     return False
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
-    """Blocks of wanted text as (text, inside an article or main, open subtrees), and the hash of every subtree."""
-    import xxhash
-
-    page, at, end = page or "", 0, len(page or "")
-    stack: list[list] = []  # tag, unwanted, inside a root, number of its subtree or -1, where it begins
-    blocks, hashes, buffer = [], [], []
-
-    def flush() -> None:
-        text = " ".join("".join(buffer).split())
-        buffer.clear()
-        if text:
-            blocks.append((text, bool(stack) and stack[-1][2], [s[3] for s in stack if s[3] >= 0]))
-
-    def close(k: int, upto: int) -> None:
-        for entry in stack[k:]:
-            if entry[3] >= 0:
-                hashes[entry[3]] = xxhash.xxh64_intdigest(" ".join(page[entry[4] : upto].split()).encode("utf-8", "surrogatepass"), 8)
-        del stack[k:]
-
-    def said(a: int, b: int) -> None:
-        if a < b and not (stack and stack[-1][1]):
-            buffer.append(html.unescape(page[a:b]))
-
-    while at < end:
-        m = _TAG.search(page, at)
-        said(at, m.start() if m else end)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        inline = tag in INLINE
-        if ends:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+class _Scanner:
+    """Tags of a page, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(from, to, tag or "" for comments, whether it ends an element, attributes); the parser may move `self.at`."""
+        page, self.at, end = self.page, 0, len(self.page)
+        while m := _OPEN.search(page, self.at):
+            tag = (m[2] or "").lower()
+            if m[0] == "<!--":
+                stop = page.find("-->", m.end())
+                self.at = stop + 3 if stop >= 0 else end
+            else:
+                stop = self._close(m.end()) if tag else page.find(">", m.end())
+                self.at = stop + 1 if stop >= 0 else end
+            yield m.start(), self.at, tag, bool(m[1]), page[m.end() : max(m.end(), self.at - 1)] if tag else ""
+
+    def _close(self, at: int) -> int:
+        """Where the tag ends that is open at `at`: a > outside quotes. Once quotes do not match, they mean nothing more."""
+        first = at
+        while self.quotes:
+            m = _QUOTE.search(self.page, at)
+            if m and m[0] == ">":
+                return m.start()
+            at = self.page.find(m[0], m.end()) + 1 if m else 0
+            if at == 0:
+                self.quotes = False
+        return self.page.find(">", first)
+
+
+class _Element:
+    """An open element: whether it is unwanted or inside a root, its subtree's number, and what its hash is made of."""
+
+    __slots__ = ("inside", "number", "parts", "tag", "unwanted")
+
+    def __init__(self, tag: str, unwanted: bool, inside: bool, number: int, parts: list[bytes]):
+        self.tag, self.unwanted, self.inside, self.number, self.parts = tag, unwanted, inside, number, parts
+
+
+class Page:
+    """A parsed page: blocks (text, inside an article or main, unwanted, innermost subtree), and subtrees as hashes and parents.
+
+    Every element that stands for itself is a subtree; its hash covers its tags, its text and the hashes of the
+    subtrees in it. `within` tells which subtrees are in a root.
+    """
+
+    def __init__(self, page: str | None):
+        import xxhash
+
+        self.blocks: list[tuple[str, bool, bool, int]] = []
+        self.hashes: list[int] = []
+        self.parents: list[int] = []
+        self.within: list[bool] = []
+        page = page or ""
+        stack: list[_Element] = [_Element("", False, False, -1, [])]
+        open_count: Counter[str] = Counter()
+        buffer: list[str] = []
+
+        def flush() -> None:
+            text = " ".join("".join(buffer).split())
+            buffer.clear()
+            if text:
+                top = stack[-1]
+                self.blocks.append((text, top.inside, top.unwanted, top.number))
+                top.parts.append(text.encode("utf-8", "surrogatepass"))
+
+        def close(k: int) -> None:
+            while len(stack) > k:
+                e = stack.pop()
+                open_count[e.tag] -= 1
+                if e.tag not in INLINE:
+                    h = xxhash.xxh64_digest(b"\0".join(e.parts), 8)
+                    if e.number >= 0:
+                        self.hashes[e.number] = int.from_bytes(h, "big")
+                    stack[-1].parts.append(h)
+
+        def last(tags: frozenset[str] | set[str]) -> int:
+            """The innermost open element of these tags; 0 if there is none."""
+            if not any(open_count[t] for t in tags):
+                return 0
+            return next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in tags)
+
+        scanner, at = _Scanner(page), 0
+        for start, _, tag, ends, attributes in scanner:
+            if at < start:
+                buffer.append(html.unescape(page[at:start]))
+            at = scanner.at
+            if not tag:
+                continue
+            inline = tag in INLINE
+            if ends:
+                if not inline:
+                    flush()
+                if k := last({tag}):
+                    if not inline or all(e.tag in INLINE for e in stack[k + 1 :]):
+                        close(k)
+                    else:  # crossed tags: only the inline one ends
+                        open_count[tag] -= 1
+                        del stack[k]
+                continue
             if not inline:
                 flush()
-            if k < 0:
+                if open_count["p"] and tag not in VOID | RAW:
+                    k = len(stack) - 1
+                    while stack[k].tag in INLINE:
+                        k -= 1
+                    if stack[k].tag == "p":
+                        close(k)
+                if tag in SAME_CLOSES and (k := last({tag, *SAME_CLOSES[tag]})) and stack[k].tag == tag:
+                    close(k)
+            elif tag == "br":
+                buffer.append(" ")
+            if tag in VOID or tag == "svg" and attributes.endswith("/"):
                 continue
-            if inline and any(s[0] not in INLINE for s in stack[k + 1 :]):
-                if stack[k][3] < 0 and not stack[k][1]:
-                    del stack[k]  # crossed tags: only the inline one ends
+            if tag in RAW:
+                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                scanner.at = at = stop.end() if stop else len(page)
                 continue
-            close(k, m.end())
-            continue
-        if not inline:
-            flush()
-            if any(s[0] == "p" for s in stack) and tag not in VOID | RAW:
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if all(s[0] in INLINE for s in stack[k + 1 :]):
-                    close(k, m.start())
-            if tag in SAME_CLOSES:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] in SAME_CLOSES[tag]), -1)
-                if k >= 0 and stack[k][0] == tag:
-                    close(k, m.start())
-        elif tag == "br":
-            buffer.append(" ")
-        if tag in VOID or attributes.endswith("/") and tag in ("svg", "math"):
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else end
-            continue
-        up = stack[-1] if stack else ["", False, False, -1, 0]
-        inside = up[2] or tag in ROOTS
-        unwanted = up[1] or _unwanted(tag, attributes, up[2])
-        number = -1
-        if not unwanted and not inline and tag not in OPEN:
-            number = len(hashes)
-            hashes.append(0)
-        stack.append([tag, unwanted, inside, number, m.start()])
-    flush()
-    close(0, end)
-    return blocks, hashes
+            up, number = stack[-1], stack[-1].number
+            unwanted = up.unwanted or _unwanted(tag, attributes, up.inside)
+            inside = up.inside or tag in ROOTS
+            parts = up.parts
+            if not inline:
+                parts = [" ".join([tag, *attributes.split()]).encode("utf-8", "surrogatepass")]
+                if tag not in OPEN:
+                    number = len(self.hashes)
+                    self.hashes.append(0)
+                    self.parents.append(up.number)
+                    self.within.append(inside)
+            stack.append(_Element(tag, unwanted, inside, number, parts))
+            open_count[tag] += 1
+        if at < len(page):
+            buffer.append(html.unescape(page[at:]))
+        flush()
+        close(1)
+
+    def text(self, templates: frozenset[int] = frozenset()) -> str:
+        """The article, one block a line: first the subtrees whose hash is in `templates` go, then unwanted elements and,
+        where a page has an article or main, all outside of it."""
+        gone: list[bool] = []
+        for h, up in zip(self.hashes, self.parents, strict=True):  # parents come first
+            gone.append(h in templates or up >= 0 and gone[up])
+        left = [b for b in self.blocks if not (b[3] >= 0 and gone[b[3]])]
+        rooted = any(inside for _, inside, _, _ in self.blocks)
+        return "\n".join(text for text, inside, unwanted, _ in left if not unwanted and (inside or not rooted))
 
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The article of a page: its blocks, less subtrees whose hash is in `templates`, one a line."""
-    blocks, hashes = parse(page)
-    if any(inside for _, inside, _ in blocks):
-        blocks = [b for b in blocks if b[1]]
-    return "\n".join(text for text, _, path in blocks if not any(hashes[i] in templates for i in path))
+    """The article of a page, less subtrees whose hash is in `templates`, one block a line."""
+    return Page(page).text(templates)
 
 
 def _signed(h: int) -> int:
@@ -140,35 +211,39 @@ def _signed(h: int) -> int:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates) of `pages` (host, html): hashes of the subtrees that recur across a host's pages.
+    """(host, templates) of `pages` (host, html): hashes of the subtrees, of any element from head to foot, that recur
+    across a host's different pages; copies of one page count once, so an article that is repeated is no template.
 
     A host's list is bounded by the size of its pages: each of its hashes is in at least `min_share` of them.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            hosts, out = [], []
+            hosts, sums, out = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                blocks, hashes = parse(page.as_py())
-                mine = any(inside for _, inside, _ in blocks)
-                found = {hashes[i] for _, inside, path in blocks if inside or not mine for i in path}
+                page = page.as_py() or ""
+                found = set(Page(page).hashes)
                 out += map(_signed, found)
                 hosts += [host] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64())], ["host", "h"])
+                sums += [_signed(xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")))] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64()), pa.array(sums, pa.int64())], ["host", "h", "sum"])
 
     known = pages.where("host <> ''")
-    seen = in_arrow(known.select("host", "html"), run, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    of = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    each = in_arrow(known.select("host", "html"), run, "host string, h long, sum long").distinct()
+    seen = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    of = known.select("host", F.xxhash64("html").alias("sum")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     return seen.join(of, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
 def extract_text(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """`df` without `page`, with text and n_chars: the main text of every row's whole html.
 
-    Null and empty pages give "". Rows with no host in their url keep all but structural boilerplate. Repeated rows
-    count as pages of their host each. Columns of `df` named like a result are replaced.
+    Null and empty pages give "". Rows with no host in their url keep all but structural boilerplate. Repeated rows are
+    one page of their host, and each is returned. Deep, unclosed and very long pages take time by their length. An
+    empty table gives no row. Columns of `df` named like a result are replaced.
     """
     keep = [c for c in df.columns if c not in (page, "text", "n_chars")]
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))

@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1}
+    return {"op1_decontamination": sql.OP1, "op4_suffix_dedup": sql.OP4, "op6_fingerprints": sql.OP6, "op7_simhash": sql.OP7}

@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoflow.llm.common import documents, in_arrow, partitions
 from geoflow.llm.shingles import shingle_hashes
 
 #: Hashes a sketch keeps: the standard error of a resemblance is at most 0.5 / sqrt(K).
 K = 128
+#: Groups whose sketches a task holds before it passes them on.
+GROUPS = 10_000
 
 
 class Sketch:
@@ -71,6 +74,43 @@ def fingerprint(df: DataFrame, text: str = "text", words: int = 5, k: int = K) -
     return in_arrow(df, run, df.drop("_text").schema.add("fingerprint", "string", True))
 
 
+def merged(df: DataFrame, by: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
+    """(by, n_sketches, fingerprint, distinct_shingles): the sketch of all shingles of each group's texts together.
+
+    Each task first merges its own rows, so a group reaches the shuffle as one sketch a task (or one for every
+    GROUPS groups that a task has met), whatever its size. Null fingerprints are empty; null groups are a group.
+    """
+    schema = df.select(by).schema.add("n_sketches", "long", True).add("hashes", T.ArrayType(T.StringType()), True)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind, groups = None, {}
+
+        def answer() -> pa.RecordBatch:
+            columns = [pa.array(groups, kind), pa.array([n for n, _ in groups.values()], pa.int64()), pa.array([[f"{int(h):016x}" for h in s.hashes] for _, s in groups.values()], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, [by, "n_sketches", "hashes"])
+
+        for batch in batches:
+            kind = batch.column(by).type
+            for group, said in zip(batch.column(by).to_pylist(), batch.column("_said").to_pylist(), strict=True):
+                new = Sketch.parse(said or "", k)
+                n, old = groups.get(group, (0, None))
+                groups[group] = n + 1, old.merge(new) if old else new
+            if len(groups) >= GROUPS:
+                yield answer()
+                groups.clear()
+        if groups:
+            yield answer()
+
+    parts = in_arrow(df.select(by, F.col(fingerprint).alias("_said")), run, schema)
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes")))), 1, k)
+    out = parts.groupBy(by).agg(F.sum("n_sketches").alias("n_sketches"), least.alias("hashes"))  # hexadecimal of one length: in the order of numbers
+    last = F.conv(F.substring(F.get("hashes", F.lit(k - 1)), 1, 13), 16, 10).cast("double") * 4096.0 + F.conv(F.substring(F.get("hashes", F.lit(k - 1)), 14, 3), 16, 10).cast("double")
+    distinct = F.when(F.size("hashes") < k, F.size("hashes").cast("double")).otherwise((k - 1) / ((last + 1) / 2.0**64))
+    return out.select(by, "n_sketches", F.array_join("hashes", "").alias("fingerprint"), distinct.alias("distinct_shingles"))
+
+
 def in_order(df: DataFrame, id: str, text: str) -> DataFrame:
     """`df` (id, text) dealt by ranges of id, each partition in order and followed by the row that comes after it.
 
@@ -101,22 +141,23 @@ def in_order(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, k: int = K) -> DataFrame:
-    """Fingerprints of each whole text and of its edited text, and how near they and the next document's are.
+    """Fingerprints of each whole text and of its edited text, and how near they and the next document's are; how many
+    distinct shingles the text has, and which part of them the edited text has, as the sketches tell.
 
     Edited: the last floor(n / 4) code points give way to the first as many (or all) of the next document, ascending
     id. Null texts are empty; texts without words have fingerprint "" and are wholly alike. Repeated ids are ordered
     by text; a lone row is its own next.
     """
     rows = in_order(df.select(F.col(id).cast("long").alias(id), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")), id, "_text")
-    schema = f"`{id}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"`{id}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, containment_edited double"
 
     def run(batches: Iterator) -> Iterator:
         from hashlib import sha256
 
         import pyarrow as pa
 
-        names = [id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = [id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "containment_edited"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
         held, done = None, False
         for batch in batches:
             out = []
@@ -130,7 +171,7 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", w
                     cut = len(value0) // 4
                     edited = value0[: len(value0) - cut] + value[:cut]
                     other = Sketch.of(edited, words, k) if edited != value0 else sketch0
-                    out.append((key0, len(value0), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(sketch0), str(other), sketch0.resemblance(other), sketch0.resemblance(sketch)))
+                    out.append((key0, len(value0), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(sketch0), str(other), sketch0.resemblance(other), sketch0.resemblance(sketch), sketch0.distinct(), sketch0.containment(other)))
                 held, done = (key.as_py(), value, sketch), after.as_py()
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)

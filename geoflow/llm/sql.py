@@ -62,3 +62,103 @@ found AS (
 SELECT id AS doc_id, item AS item_id, max(n_windows) AS n_windows, max(item_windows)::BIGINT AS item_windows, max(n_slots)::BIGINT AS n_slots
 FROM found JOIN texts USING (k) GROUP BY id, item
 """
+
+# every 200-byte string by itself, as 400 hexadecimal digits
+OP4 = """
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT k, p, substring(h, 2 * p + 1, 1398) AS h FROM (SELECT k, h, unnest(range(0, greatest(length(h) // 2 - 199, 0), 500)) AS p FROM texts)),
+windows AS (SELECT k, p + i AS i, substring(h, 2 * i + 1, 400) AS s FROM (SELECT k, p, h, unnest(range(length(h) // 2 - 199)) AS i FROM pieces)),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + 200, true) AS new FROM windows SEMI JOIN again USING (s)),
+numbered AS (SELECT k, i, sum(new::INT) OVER (PARTITION BY k ORDER BY i) AS part FROM hits),
+spans AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY k, part),
+cuts AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS since FROM spans),
+kept AS (
+  SELECT k, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS upto, string_agg(substring(any_h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS left_
+  FROM (SELECT c.*, t.h AS any_h FROM cuts c JOIN texts t USING (k)) GROUP BY k)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(left_, '') || substring(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (k)
+"""
+
+
+def _xxh64(texts: str, seed: int = 42) -> str:
+    """CTEs xx0 ... hashed (every column of `texts`, h UBIGINT): XXH64 of the UTF-8 bytes of its column s, by the published algorithm.
+
+    A rotation by r is a product with 2**r modulo 2**64 - 1.
+    """
+    # Fixed values of XXH64.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    m = 1 << 64
+    big = lambda x: f"{x}::UHUGEINT"
+    times = lambda x, p: f"(({x}) * {big(p)} % {big(m)})"
+    turn = lambda x, r: f"(({x}) * {big(1 << r)} % {big(m - 1)})"
+    plus = lambda x, y: f"((({x}) + ({y})) % {big(m)})"
+    step = lambda acc, lane: times(turn(plus(acc, times(lane, p2)), 31), p1)
+    byte = lambda i: f"substring(x, 2 * ({i}) + 1, 2)"
+    lane = lambda i, n: f"('0x' || {' || '.join(byte(f'{i} + {k}') for k in reversed(range(n)))})::UBIGINT::UHUGEINT"
+    start = ", ".join(big((seed + x) % m) for x in (p1 + p2, p2, 0, -p1))
+    stripes = f"list_transform(range(n // 32), lambda j: [{', '.join(lane(f'j * 32 + {8 * k}', 8) for k in range(4))}])"
+    merged = "h"
+    for k in range(4):
+        merged = plus(times(f"xor({merged}, {step(big(0), f'v[{k + 1}]')})", p1), big(p4))
+    first = plus(plus(turn("v[1]", 1), turn("v[2]", 7)), plus(turn("v[3]", 12), turn("v[4]", 18)))
+    after8 = plus(times(turn(f"xor(acc, {step(big(0), 'y')})", 27), p1), big(p4))
+    after4 = plus(times(turn(f"xor(h, {times(lane('n // 8 * 8', 4), p1)})", 23), p2), big(p3))
+    after1 = times(turn(f"xor(acc, {times('y', p5)})", 11), p1)
+    return f"""
+xx0 AS (SELECT DISTINCT s, hex(encode(s)) AS x, length(hex(encode(s))) // 2 AS n FROM {texts}),
+xx1 AS (SELECT *, list_reduce(list_prepend([{start}], {stripes}), lambda a, y: [{", ".join(step(f"a[{k}]", f"y[{k}]") for k in range(1, 5))}]) AS v FROM xx0),
+xx2 AS (SELECT s, x, n, v, CASE WHEN n >= 32 THEN {first} ELSE {big((seed + p5) % m)} END AS h FROM xx1),
+xx3 AS (SELECT s, x, n, (CASE WHEN n >= 32 THEN {merged} ELSE h END + n::UHUGEINT) % {big(m)} AS h FROM xx2),
+xx4 AS (SELECT s, x, n, list_reduce(list_prepend(h, list_transform(range(n // 32 * 4, n // 8), lambda j: {lane("j * 8", 8)})), lambda acc, y: {after8}) AS h FROM xx3),
+xx5 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {after4} ELSE h END AS h FROM xx4),
+xx6 AS (SELECT s, list_reduce(list_prepend(h, list_transform(range(n // 4 * 4, n), lambda j: ('0x' || {byte("j")})::UBIGINT::UHUGEINT)), lambda acc, y: {after1}) AS h FROM xx5),
+xx7 AS (SELECT s, {times(f"xor(h, h // {big(1 << 33)})", p2)} AS h FROM xx6),
+xx8 AS (SELECT s, {times(f"xor(h, h // {big(1 << 29)})", p3)} AS h FROM xx7),
+xx9 AS (SELECT s, xor(h, h // {big(1 << 32)})::UBIGINT AS h FROM xx8),
+hashed AS (SELECT t.*, xx9.h FROM {texts} t JOIN xx9 USING (s))"""
+
+
+def _shingles(texts: str, words: int) -> str:
+    """CTEs ... shingles (k, s): each run of `words` words of the texts (k, text), repeats included; a shorter text is one."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+split AS (SELECT k, list_filter(string_split_regex(translate(text, '{upper}', '{upper.lower()}'), '[\x20\x09-\x0d]+'), lambda x: x <> '') AS w FROM {texts}),
+shingles AS (SELECT k, array_to_string(w[i + 1 : i + {words}], ' ') AS s FROM (SELECT k, w, unnest(range(greatest(len(w) - {words - 1}, least(len(w), 1)))) AS i FROM split))"""
+
+
+_BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0 END" for b in range(64))
+
+OP7 = f"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),{_shingles("texts", 3)},{_xxh64("shingles")},
+voted AS (SELECT k, {_BITS} AS fp FROM hashed GROUP BY k),
+prints AS (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM texts LEFT JOIN voted USING (k)),
+least_ids AS (SELECT fp, min(doc_id) AS id FROM prints GROUP BY fp),
+links AS (SELECT a.fp AS u, b.fp AS v FROM least_ids a, least_ids b WHERE bit_count(xor(a.fp, b.fp)::HUGEINT) <= 2),
+reached AS (SELECT fp AS u, fp AS v FROM least_ids UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+named AS (SELECT u AS fp, min(id) AS component_id FROM reached JOIN least_ids ON v = least_ids.fp GROUP BY u)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM prints JOIN named USING (fp)
+"""
+
+OP6 = f"""
+WITH ordered AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),
+pairs AS (SELECT a.r, a.doc_id, a.text, b.text AS next_text, length(a.text) AS n_chars, length(a.text) // 4 AS cut FROM ordered a JOIN ordered b ON b.r = a.r % a.n + 1),
+edited AS (SELECT *, substring(text, 1, n_chars - cut) || substring(next_text, 1, cut) AS edit FROM pairs),
+texts AS (SELECT row_number() OVER () AS k, text FROM (SELECT DISTINCT text FROM edited UNION SELECT edit FROM edited UNION SELECT next_text FROM edited)),{_shingles("texts", 5)},{_xxh64("shingles")},
+sketches AS (SELECT text, coalesce(sk, []) AS sk FROM texts LEFT JOIN (SELECT k, list_sort(list(DISTINCT h))[1:128] AS sk FROM hashed GROUP BY k) USING (k)),
+three AS (
+  SELECT e.*, a.sk AS own, b.sk AS other, c.sk AS following FROM edited e
+  JOIN sketches a ON a.text = e.text JOIN sketches b ON b.text = e.edit JOIN sketches c ON c.text = e.next_text),
+unions AS (SELECT *, list_sort(list_distinct(own || other))[1:128] AS with_edited, list_sort(list_distinct(own || following))[1:128] AS with_next FROM three)
+SELECT doc_id, n_chars, sha256(edit) AS edited_sha256,
+  array_to_string(list_transform(own, lambda x: lpad(lower(hex(x)), 16, '0')), '') AS fingerprint,
+  array_to_string(list_transform(other, lambda x: lpad(lower(hex(x)), 16, '0')), '') AS edited_fingerprint,
+  CASE WHEN len(with_edited) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(with_edited, own), other)) / len(with_edited) END AS near_edited,
+  CASE WHEN len(with_next) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(with_next, own), following)) / len(with_next) END AS near_next,
+  DISTINCT_OF AS distinct_shingles,
+  CASE WHEN len(own) = 0 THEN 1.0 ELSE least(1.0, (CASE WHEN len(with_edited) = 0 THEN 1.0 ELSE len(list_intersect(list_intersect(with_edited, own), other)) / len(with_edited) END) * UNION_OF / DISTINCT_OF) END AS containment_edited
+FROM unions
+""".replace("DISTINCT_OF", "(CASE WHEN len(own) < 128 THEN len(own)::DOUBLE ELSE 127 / ((own[128]::DOUBLE + 1) / 18446744073709551616::DOUBLE) END)").replace(
+    "UNION_OF", "(CASE WHEN len(with_edited) < 128 THEN len(with_edited)::DOUBLE ELSE 127 / ((with_edited[128]::DOUBLE + 1) / 18446744073709551616::DOUBLE) END)"
+)

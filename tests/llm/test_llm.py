@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -215,7 +216,7 @@ def test_places_of_many_blocks(spark):
     assert got == of and {tuple(sorted(x)) for x in links} <= set(pairs)
 
 
-def test_fingerprints(spark, sf, texts):
+def test_fingerprints(spark, sf, texts, documents):
     got = {r["doc_id"]: r for r in sketch.op6_fingerprints(spark, sf).collect()}
     ids = sorted(texts)
     for i, j in zip(ids, ids[1:] + ids[:1], strict=True):
@@ -228,6 +229,14 @@ def test_fingerprints(spark, sf, texts):
         assert r["near_next"] == pytest.approx(sketch.Sketch.of(a).resemblance(sketch.Sketch.of(b)))
     assert sketch.edited_fingerprints(docs(spark, ODD)).count() == len(ODD) + 2
     assert sketch.edited_fingerprints(docs(spark, [])).count() == 0
+    of = sketch.merged(documents.join(sketch.fingerprint(documents.select("doc_id", "text")), "doc_id"), "lang")
+    hashes = {}
+    for r in documents.collect():
+        hashes.setdefault(r["lang"], []).append(sketch.shingle_hashes(r["text"], 5))
+    for r in of.collect():
+        whole = sketch.Sketch(np.concatenate(hashes[r["lang"]]))
+        assert (r["n_sketches"], r["fingerprint"]) == (len(hashes[r["lang"]]), str(whole))
+        assert r["distinct_shingles"] == pytest.approx(whole.distinct()) == pytest.approx(len(np.unique(np.concatenate(hashes[r["lang"]]))), rel=0.3)
     a, b = sketch.Sketch(np.arange(0, 1000, dtype="uint64") * np.uint64(1 << 50)), sketch.Sketch(np.arange(500, 1500, dtype="uint64") * np.uint64(1 << 50))
     assert str(a.merge(b)) == str(sketch.Sketch(np.concatenate([a.hashes, b.hashes])))
 
@@ -368,12 +377,40 @@ PAGE = """<html><head><title>t</title><script>var a;</script></head><body><nav>m
 <ul><li>one<li>two</ul><div>Same on every page</div></article></main><aside>side</aside><div class="comments"><p>reader says</p></div><footer>foot</footer></body></html>"""
 
 
+def _pages(spark, rows):
+    df = spark.createDataFrame([(i, u, h, "mine", 1) for i, (u, h) in enumerate(rows)], "page_id int, url string, html string, text string, n_chars int")
+    return {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+
+
 def test_html(spark):
-    rows = [(i, f"https://a.example/{i}", PAGE.replace("{i}", str(i))) for i in range(8)] + [(8, None, None), (9, "x", ""), (10, "http://b.example/", "<p>alone</p> tail"), (11, "http://b.example/1", "<p>unclosed <i>text")]
-    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got[3] == "First bold text 3." or got[3].startswith("Name & more\nFirst bold text 3.") or "First bold text 3." in got[3]
-    assert "Same on every page" not in got[3] and "menu" not in got[3] and "reader" not in got[3] and "foot" not in got[3]
+    got = _pages(spark, [*((f"https://a.example/{i}", PAGE.replace("{i}", str(i))) for i in range(8)), (None, None), ("x", ""), ("http://b.example/", "<p>alone</p> tail"), ("http://b.example/1", "<p>unclosed <i>text")])
+    assert got[3] == "First bold text 3."  # the heading, the list and the div are on every page of the host
     assert got[8] == got[9] == "" and got[10] == "alone\ntail" and got[11] == "unclosed text"
+    alone = html.main_text(PAGE.replace("{i}", "1"))
+    assert alone == "Name & more\nFirst bold text 1.\none\ntwo\nSame on every page"
+    assert html.extract_text(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+
+
+def test_templates_alone_decide_where_no_element_tells(spark):
+    page = "<body><div><p>Our shop and our team</p><p>Call us</p></div><div><p>Story {i} begins.</p><p>It ends {i}.</p></div><div>All rights <b>kept</b></div></body>"
+    rows = [(f"https://a.example/{i}", page.replace("{i}", str(i))) for i in range(6)]
+    got = _pages(spark, [*rows, *rows[:2], ("https://other.example/", rows[0][1])])
+    assert all(got[i] == f"Story {i}  begins.\nIt ends {i}.".replace("  ", " ") for i in range(6)) and got[6] == got[0] and got[7] == got[1]
+    assert got[8] == "Our shop and our team\nCall us\nStory 0 begins.\nIt ends 0.\nAll rights kept"
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    same = ("https://a.example/x", "<div><p>One article that was stored often.</p></div>")
+    got = _pages(spark, [same] * 9 + [("https://a.example/y", "<div><p>Another.</p></div>")])
+    assert set(got.values()) == {same[1][8:-10], "Another."}
+
+
+def test_hostile_pages_take_time_by_their_length():
+    for page in ("<div>x" * 20000, '<a href="x>y' * 20001, '<a ">"' * 20000, "<i>" * 4000 + "<div>x" * 4000, "<div>" * 4000 + "<dd></dd>" * 4000, "<" * 200000, "<p><b>x" * 5000, "x" * 2_000_000):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 5
+    assert html.main_text("<article><p>a &lt; b<math><mi>x</mi></math></p><div class='related work'>gone</div><div class='share-price'>kept</div></article>") == "a < bx\nkept"
 
 
 def test_pipeline(spark, sf, documents):
