@@ -229,7 +229,7 @@ class Encoder:
             yield pool[np.arange(ends[-1] if len(w) else 0) + np.repeat(start[w] - (ends - n), n)]
 
 
-def _rows_at_once(batch, column: str, most: int = 8 << 20):
+def _rows_at_once(batch, column: str, most: int = 2 << 20):
     """Slices of an Arrow batch with about `most` bytes in `column`."""
     import pyarrow.compute as pc
 
