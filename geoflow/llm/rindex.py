@@ -302,9 +302,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     common = spill(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of_key"), F.max("again").alias("any")).where("of_key > 1 OR any").select("key"), "common")
     places = spill(keyed.join(common, "key"), "fragments")
     kinds = spill(places.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "sum", "start", "n")).alias("place"), F.max("again").alias("again")), "kinds")
-    sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("place.n") + window).alias("bytes"), F.max("again").alias("any")).where("kinds > 1 OR any")
-    sized = spill(kinds.join(sizes.select("key", "bytes"), "key"), "sized")
-    strings = spill(_cut_out(docs, sized, window).join(sizes.select("key", "bytes").withColumnRenamed("bytes", "total"), "key"), "strings")
+    sizes = spill(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("place.n") + window).alias("bytes"), F.max("again").alias("any")).where("kinds > 1 OR any").select("key", "bytes"), "sizes")
+    sized = spill(kinds.join(sizes, "key"), "sized")
+    strings = spill(_cut_out(docs, sized, window).join(sizes.withColumnRenamed("bytes", "total"), "key"), "strings")
     found = _index_blocks(strings.where(F.col("total") <= block), window, block).union(_by_windows(strings.where(F.col("total") > block), window))
     # a fragment that comes several times repeats as a whole
     whole = kinds.where("times > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("place.n") - 1).alias("last"))).alias("spans"))
