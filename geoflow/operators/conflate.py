@@ -93,9 +93,12 @@ def edge_speed(middles: DataFrame, pixels: DataFrame, reach: int = 6, percentile
     `middles` (tile_id, edge_id, seq, x, y) are segment middles, `pixels` (tile_id, band, row, col, value) the raster.
     """
     span = lambda c: F.explode(F.sequence(F.greatest(F.col(c) - reach, F.lit(0)).cast("int"), (F.col(c) + reach).cast("int")))
-    window = middles.select("tile_id", "edge_id", "seq", span("y").alias("row"), "x").select("tile_id", "edge_id", "seq", "row", span("x").alias("col"))
-    seen = window.join(pixels.where(F.col("band") < len(BAND_SPEED)), ["tile_id", "row", "col"]).select("tile_id", "edge_id", "seq", "band", "value")
-    total = band_values(seen, percentile).groupBy("tile_id", "edge_id", "band").agg(F.sum("z").alias("z"))
+    # segments whose middles fall on one pixel see one window: it is read once
+    window = middles.select("tile_id", "x", "y").distinct().select("tile_id", "x", "y", span("y").alias("row")).select("tile_id", "x", "y", "row", span("x").alias("col"))
+    bands = pixels.where(F.col("band") < len(BAND_SPEED)).groupBy("tile_id", "row", "col").agg(F.collect_list(F.struct("band", "value")).alias("bands"))
+    seen = window.join(bands, ["tile_id", "row", "col"]).select(F.struct("tile_id", "x", "y").alias("seen"), F.explode("bands").alias("b")).select("seen", "b.band", "b.value")
+    z = band_values(seen, percentile).select("seen.*", "band", "z")
+    total = middles.join(z, ["tile_id", "x", "y"]).groupBy("tile_id", "edge_id", "band").agg(F.sum("z").alias("z"))
     return patch_speed(total, least=0, weighted=False).withColumnRenamed("speed", "speed_mph")
 
 
