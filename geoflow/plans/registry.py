@@ -432,12 +432,12 @@ def radius_join(spark, d):
   e AS (SELECT tile_id, edge_id, x AS x1, y AS y1, x2 - x AS dx, y2 - y AS dy FROM (SELECT *, line_id * 100000 + row_number() OVER (PARTITION BY tile_id, line_id ORDER BY pos) - 1 AS edge_id FROM seg) WHERE x2 IS NOT NULL),
   t AS (SELECT p.tile_id, id, edge_id, px, py, x1, y1, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM p JOIN e ON p.tile_id = e.tile_id),
   n AS (SELECT tile_id, id, edge_id, sqrt((x1 + t * dx - px) * (x1 + t * dx - px) + (y1 + t * dy - py) * (y1 + t * dy - py)) AS distance FROM t),
-  m AS (SELECT tile_id, id, min(struct_pack(d := round(distance, 6), e := edge_id)) AS m FROM n WHERE distance <= 100 GROUP BY 1, 2)
+  m AS (SELECT tile_id, id, min(struct_pack(d := round(distance, 9), e := edge_id)) AS m FROM n WHERE distance <= 100 GROUP BY 1, 2)
   SELECT tile_id, id, m.e AS edge_id, round(m.d, 5) AS distance FROM m""", "vertex")
 def nearest_edge(spark, d):
     segs = features.segment_rows(lines(spark, d).withColumn("speed", F.lit(1.0))).withColumn("edge_id", F.col("line_id") * 100000 + F.col("seq"))
     p = table(spark, d, "vertex").select("tile_id", F.col("pos").alias("id"), F.col("y").alias("x"), F.col("x").alias("y"))
-    return spatial.snap_to_edges(p, segs.select("tile_id", "edge_id", "x1", "y1", "x2", "y2"), 100.0).select("tile_id", "id", "edge_id", F.round(F.round("distance", 6), 5).alias("distance"))
+    return spatial.snap_to_edges(p, segs.select("tile_id", "edge_id", "x1", "y1", "x2", "y2"), 100.0).select("tile_id", "id", "edge_id", F.round("distance", 5).alias("distance"))
 
 
 # Graphs
