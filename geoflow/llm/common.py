@@ -14,9 +14,11 @@ _BATCH, _DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "6
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or, in local mode only, a temporary one where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='geoflow-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
