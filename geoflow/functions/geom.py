@@ -138,3 +138,13 @@ def rdp(points: list, epsilon: float = 1.0) -> list:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
     return p[keep].tolist()
+
+
+def point_key(x: Column, y: Column) -> Column:
+    """A whole-number point, with y below 10,000, as one number."""
+    return F.floor(x).cast("long") * 10_000 + F.floor(y).cast("long")
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """Two point keys, each below 100,000,000, as one number: a comes first."""
+    return a.cast("long") * 100_000_000 + b.cast("long")

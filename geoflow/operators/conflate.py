@@ -11,6 +11,9 @@ from geoflow.operators.features import without_twins
 
 SIDE = 1300
 
+# Fixed value: metres a second in a mile an hour.
+MPS_PER_MPH = 0.44704
+
 
 def _share(rows: DataFrame, flag: Column, tile: str) -> DataFrame:
     """Share of flooded rows per tile, joined back: pre-aggregated, so a tile with many rows is not one task."""
@@ -102,6 +105,15 @@ def edge_speed(middles: DataFrame, pixels: DataFrame, reach: int = 6, percentile
     return patch_speed(total, least=0, weighted=False).withColumnRenamed("speed", "speed_mph")
 
 
+def apply_speeds(edges: DataFrame, speeds: DataFrame, keys: list[str]) -> DataFrame:
+    """`edges` (…, length_miles) with the speeds (…, speed_mph) inferred for them: inferred_speed_mph and _mps to two digits,
+    travel_time_s to three, halves to even; null for edges without a speed, and no time at speed 0."""
+    mph = F.col("speed_mph")
+    out = edges.join(speeds.select(*keys, "speed_mph"), keys, "left")
+    hours = F.try_divide(F.col("length_miles"), mph)
+    return out.withColumn("inferred_speed_mph", F.bround(mph, 2)).withColumn("inferred_speed_mps", F.bround(mph * MPS_PER_MPH, 2)).withColumn("travel_time_s", F.bround(3600 * hours, 3)).drop("speed_mph")
+
+
 def weighted_stats(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weighted mean, population variance and standard deviation per group."""
     v, w = F.col(value), F.col(weight)

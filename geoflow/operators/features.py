@@ -122,3 +122,14 @@ def numbered(rows: DataFrame, order: list[str], name: str = "number", groups: li
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+
+
+def joined_submission(roads: DataFrame, buildings: DataFrame, columns: list[str], numbers: list[str]) -> DataFrame:
+    """Roads and buildings in one table of `columns`; missing `numbers` are 0, columns that a side lacks are null."""
+    both = roads.unionByName(buildings, allowMissingColumns=True)
+    return both.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in numbers else F.col(c) for c in columns))
+
+
+def flooded_percentage(rows: DataFrame, flag: str = "flooded") -> DataFrame:
+    """(percentage): how many of 100 rows are flooded; null flags are not, and an empty table gives null."""
+    return rows.agg(F.try_divide(100 * F.count_if(F.coalesce(F.col(flag).cast("boolean"), F.lit(False))), F.count(F.lit(1))).alias("percentage"))

@@ -34,6 +34,18 @@ def merge_classes(bands: DataFrame, classes: int = 5) -> DataFrame:
     return bands.groupBy(*PIXEL).agg(value.alias("value"))
 
 
+def body_minus_border(pixels: DataFrame, at: float) -> DataFrame:
+    """(tile_id, row, col, value): 1 where a building's body, less its border (both 0 to 255), is at least `at`; null is none."""
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / 255
+    return pixels.select(*PIXEL, (share("body") * (1 - share("border")) >= at).cast("int").alias("value"))
+
+
+def normalised(bands: DataFrame, mean: list[float], std: list[float]) -> DataFrame:
+    """Values 0 to 255 of each band as shares, less the band's mean, by its standard deviation; bands beyond the lists go."""
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("band"))
+    return bands.where(F.col("band").between(0, len(mean) - 1)).withColumn("value", (F.col("value") / 255 - of(mean)) / of(std))
+
+
 def class_masks(pixels: DataFrame) -> DataFrame:
     """Building (255) and road (254) masks of a class map 0 to 4."""
     return pixels.select(*PIXEL, F.when(F.col("value").isin(1, 2), 255).otherwise(0).alias("building"), F.when(F.col("value").isin(3, 4), 254).otherwise(0).alias("road"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoflow.functions import coords, flags, geom, speed
@@ -600,3 +600,54 @@ def warp_resize(spark, d):
 def rasterize(spark, d):
     shapes = _small_lines(spark, d).withColumn("seq", F.col("line_id")).withColumn("value", F.lit(1)).where(F.size("points") > 1)
     return tiles.pixels_of(tiles.rasterize(shapes, 32, radius=0.75))
+
+
+# Small operators
+
+
+@query('SELECT tile_id, "row", col, CAST(prob / 255 * (1 - pred * 50 / 255) >= 0.5 AS INT) AS value FROM pixel', "pixel")
+def body_minus_border(spark, d):
+    return pixels.body_minus_border(table(spark, d, "pixel").withColumnRenamed("prob", "body").withColumn("border", F.col("pred") * 50), 0.5)
+
+
+@query('SELECT tile_id, band, "row", col, round((value / 255 - [0.485, 0.456, 0.406][band + 1]) / [0.229, 0.224, 0.225][band + 1], 6) AS value FROM band_pixel WHERE band < 3', "band_pixel")
+def mean_std_normalise(spark, d):
+    return pixels.normalised(table(spark, d, "band_pixel").drop("after"), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT tile_id, round(count(*) FILTER (value > 2 AND pred > 2) / (count(*) FILTER (value > 2 OR pred > 2) + 1e-7), 6) AS iou FROM pixel GROUP BY 1", "pixel")
+def iou_binary(spark, d):
+    p = table(spark, d, "pixel").select("tile_id", (F.col("value") > 2).cast("int").alias("truth"), (F.col("pred") > 2).cast("int").alias("pred"))
+    return metrics.binary_iou(p, ["tile_id"]).withColumn("iou", F.round("iou", 6))
+
+
+@query("""SELECT tile_id, id, round_even(lanes * 5.5::DOUBLE, 2) AS inferred_speed_mph, round_even(lanes * 5.5::DOUBLE * 0.44704::DOUBLE, 2) AS inferred_speed_mps,
+  round_even(3600 * (length / 1609.344::DOUBLE / (lanes * 5.5::DOUBLE)), 3) AS travel_time_s FROM feature""", "feature")
+def edge_speed_apply(spark, d):
+    f = table(spark, d, "feature")
+    edges = f.select("tile_id", "id", (F.col("length") / F.lit(1609.344)).alias("length_miles"))
+    speeds = f.where("lanes IS NOT NULL").select("tile_id", "id", (F.col("lanes") * F.lit(5.5)).alias("speed_mph"))
+    return conflate.apply_speeds(edges, speeds, ["tile_id", "id"]).drop("length_miles")
+
+
+@query("SELECT image_id, object, wkt_pix, flooded, CASE WHEN object = 'Road' AND length_m > 0 THEN length_m ELSE 0 END::DOUBLE AS length_m, CASE WHEN object = 'Road' THEN travel_time_s ELSE 0 END::DOUBLE AS travel_time_s FROM submission", "submission")
+def union_per_tile(spark, d):
+    rows = table(spark, d, "submission")
+    roads = rows.where("object = 'Road'").withColumn("length_m", F.when(F.col("length_m") > 0, F.col("length_m")))
+    buildings = rows.where("object = 'Building'").drop("length_m", "travel_time_s")
+    return features.joined_submission(roads, buildings, ["image_id", "object", "wkt_pix", "flooded", "length_m", "travel_time_s"], ["length_m", "travel_time_s"])
+
+
+@query("SELECT round(100 * count(*) FILTER (flooded) / count(*), 6) AS percentage FROM submission", "submission")
+def join_and_filter(spark, d):
+    rows = table(spark, d, "submission")
+    both = features.joined_submission(rows.where("object = 'Road'"), rows.where("object = 'Building'"), ["image_id", "flooded"], [])
+    return features.flooded_percentage(both).withColumn("percentage", F.round("percentage", 6))
+
+
+@query(_SEGMENTS + " SELECT line_id, pos, CAST(x AS BIGINT) * 10000 + CAST(y AS BIGINT) AS here, (CAST(x AS BIGINT) * 10000 + CAST(y AS BIGINT)) * 100000000 + CAST(x2 AS BIGINT) * 10000 + CAST(y2 AS BIGINT) AS pair FROM seg WHERE x2 IS NOT NULL", "vertex")
+def point_pair_keys(spark, d):
+    by = Window.partitionBy("line_id").orderBy("pos")
+    v = table(spark, d, "vertex").withColumn("here", geom.point_key(F.col("x"), F.col("y")))
+    v = v.withColumn("next", F.lead("here").over(by)).where("next IS NOT NULL")
+    return v.select("line_id", "pos", "here", geom.pair_key(F.col("here"), F.col("next")).alias("pair"))
