@@ -27,14 +27,14 @@ TABLES = {
 
 
 def sql(*names: str) -> str:
-    """`WITH` clause of the named tables."""
+    """`WITH` clause of the named tables; queries may add recursive ones."""
     each = []
     for name in names:
         source, columns, keys = TABLES[name]
         listed = ", ".join(f"{e} AS {c}" for c, e in columns.items())
         by = f" GROUP BY {', '.join(map(str, range(1, keys + 1)))}" if keys else ""
         each.append(f"{name} AS (SELECT {listed} FROM {source}{by})")
-    return "WITH " + ", ".join(each) + " "
+    return "WITH RECURSIVE " + ", ".join(each) + " "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

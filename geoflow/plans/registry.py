@@ -474,24 +474,50 @@ def lines_to_graph(spark, d):
     return graph.lines_to_graph(lines(spark, d))[0]
 
 
-@query()
+_E = _V + """, g AS (SELECT vertex.tile_id, line_id, pos, node_id AS u, vertex.x AS x1, vertex.y AS y1, lead(node_id) OVER w AS v, lead(vertex.x) OVER w AS x2, lead(vertex.y) OVER w AS y2 FROM vertex JOIN n ON n.tile_id = vertex.tile_id AND n.x = vertex.x AND n.y = vertex.y WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY tile_id, least(u, v), greatest(u, v) ORDER BY line_id, pos) AS copy FROM g WHERE v IS NOT NULL AND u <> v),
+  ge AS (SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY line_id, pos) AS edge_id, u, v, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length, x1, y1, x2, y2 FROM k WHERE copy = 1)"""
+
+
+@query(_E + " SELECT tile_id, edge_id, u, v, round(length, 6) AS length, x1, y1, x2, y2 FROM ge", "vertex")
+def lines_to_graph_edges(spark, d):
+    return graph.lines_to_graph(lines(spark, d))[1].withColumn("length", F.round("length", 6))
+
+
+_ARCS = ", b AS (SELECT tile_id, u, v, min(length) AS w FROM (SELECT tile_id, u, v, length FROM edge UNION ALL SELECT tile_id, v, u, length FROM edge) GROUP BY 1, 2, 3)"
+_REACH = _ARCS + """, c AS (SELECT tile_id, u AS node_id, u AS component FROM b UNION SELECT b.tile_id, b.v, c.component FROM c JOIN b ON b.tile_id = c.tile_id AND b.u = c.node_id AND c.component < b.v),
+  cc AS (SELECT tile_id, node_id, min(component) AS component FROM c GROUP BY 1, 2)"""
+
+
+@query(_REACH.replace("FROM edge", "FROM edge WHERE u <> v") + " SELECT * FROM cc", "edge")
 def connected_components_graph(spark, d):
     return graph.node_components(table(spark, d, "edge").where("u <> v"))
 
 
-@query()
+#: Rounds of the SQL: nodes of a tile are below 200, so no shortest path has more edges.
+_PATHS = "UNION ALL SELECT b.tile_id, r.source, b.v, min(r.length + b.w), any_value(r.k) + 1 FROM r JOIN b ON b.tile_id = r.tile_id AND b.u = r.node_id WHERE r.k < {} GROUP BY b.tile_id, r.source, b.v"
+
+
+@query(_ARCS + ", r AS (SELECT tile_id, min(u) AS source, min(u) AS node_id, CAST(0 AS DOUBLE) AS length, 0 AS k FROM b GROUP BY 1 " + _PATHS.format(200) + ") SELECT tile_id, source, node_id, min(length) AS length FROM r GROUP BY 1, 2, 3", "edge")
 def shortest_paths(spark, d):
     """From each tile's least node to all it reaches."""
     e = table(spark, d, "edge")
     return graph.shortest_paths(e, e.groupBy("tile_id").agg(F.min(F.least("u", "v")).alias("node_id")))
 
 
-@query()
+@query(_E + """, en AS (SELECT tile_id, edge_id, unnest([u, v]) AS node_id FROM ge), p AS (SELECT tile_id, node_id, min(edge_id) AS a, max(edge_id) AS b FROM en GROUP BY 1, 2 HAVING count(*) = 2),
+  l AS (SELECT tile_id, a, b FROM p WHERE a <> b UNION ALL SELECT tile_id, b, a FROM p WHERE a <> b),
+  r AS (SELECT tile_id, edge_id, edge_id AS chain FROM ge UNION SELECT l.tile_id, l.b, r.chain FROM r JOIN l ON l.tile_id = r.tile_id AND l.a = r.edge_id AND r.chain < l.b),
+  c AS (SELECT tile_id, edge_id, min(chain) AS chain FROM r GROUP BY 1, 2), t AS (SELECT c.tile_id, chain, sum(length) AS length, count(*) AS n_edges FROM c JOIN ge ON ge.tile_id = c.tile_id AND ge.edge_id = c.edge_id GROUP BY 1, 2),
+  s AS (SELECT c.tile_id, chain, min(en.node_id) FILTER (p.a IS NULL) AS lo, max(en.node_id) FILTER (p.a IS NULL) AS hi, min(en.node_id) AS least_id FROM c JOIN en ON en.tile_id = c.tile_id AND en.edge_id = c.edge_id LEFT JOIN p ON p.tile_id = en.tile_id AND p.node_id = en.node_id GROUP BY 1, 2)
+  SELECT t.tile_id, t.chain AS edge_id, coalesce(lo, least_id) AS u, coalesce(hi, least_id) AS v, round(length, 5) AS length, n_edges FROM t JOIN s ON s.tile_id = t.tile_id AND s.chain = t.chain""", "vertex")
 def simplify_graph(spark, d):
-    return graph.simplify(graph.lines_to_graph(lines(spark, d))[1])
+    return graph.simplify(graph.lines_to_graph(lines(spark, d))[1]).withColumn("length", F.round("length", 5))
 
 
-@query()
+@query(_REACH + ", few AS (SELECT tile_id, component FROM cc GROUP BY 1, 2 HAVING count(*) <= 20), r AS (SELECT cc.tile_id, node_id AS source, node_id, CAST(0 AS DOUBLE) AS length, 0 AS k FROM cc JOIN few ON few.tile_id = cc.tile_id AND few.component = cc.component " + _PATHS.format(20) + """),
+  far AS (SELECT tile_id, source, node_id, min(length) AS length FROM r GROUP BY 1, 2, 3), gone AS (SELECT far.tile_id, component FROM far JOIN cc ON cc.tile_id = far.tile_id AND cc.node_id = far.node_id GROUP BY 1, 2 HAVING max(length) < 150)
+  SELECT tile_id, edge_id, u, v, length FROM edge WHERE (tile_id, u) NOT IN (SELECT (cc.tile_id, node_id) FROM cc JOIN gone ON gone.tile_id = cc.tile_id AND gone.component = cc.component)""", "edge")
 def clean_components(spark, d):
     return graph.without_small_components(table(spark, d, "edge").select("tile_id", "edge_id", "u", "v", "length"), 150.0)
 
@@ -557,13 +583,22 @@ def topo(spark, d):
 # Tiles
 
 
-@query()
+_NEAR = ", o AS (SELECT a.i - 1 AS dr, b.i - 1 AS dc FROM range(3) a(i), range(3) b(i))"
+
+
+@query(_NEAR + """, m AS (SELECT tile_id, "row", col, "row" * 32 + col AS i FROM pixel WHERE value > 2),
+  nb AS (SELECT a.tile_id, a.i, b.i AS j FROM m a, o, m b WHERE b.tile_id = a.tile_id AND b."row" = a."row" + dr AND b.col = a.col + dc AND a.i <> b.i),
+  r AS (SELECT tile_id, i, i AS f FROM m UNION SELECT nb.tile_id, nb.j, r.f FROM r JOIN nb ON nb.tile_id = r.tile_id AND nb.i = r.i AND r.f < nb.j), f AS (SELECT tile_id, i, min(f) AS f FROM r GROUP BY 1, 2)
+  SELECT tile_id, CAST(i // 32 AS INT) AS "row", CAST(i % 32 AS INT) AS col, CAST(dense_rank() OVER (PARTITION BY tile_id ORDER BY f) AS INT) AS label FROM f""", "pixel")
 def connected_components(spark, d):
     p = table(spark, d, "pixel").withColumn("value", (F.col("value") > 2).cast("int"))
     return tiles.label_components(tiles.pack(p, 32))
 
 
-@query()
+@query(_NEAR + """, m AS (SELECT tile_id, "row", col FROM pixel WHERE value > 0),
+  e AS (SELECT a.tile_id, a."row", a.col FROM m a, o, m b WHERE b.tile_id = a.tile_id AND b."row" = a."row" + dr AND b.col = a.col + dc GROUP BY 1, 2, 3
+  HAVING count(*) = (CASE WHEN a."row" IN (0, 31) THEN 2 ELSE 3 END) * (CASE WHEN a.col IN (0, 31) THEN 2 ELSE 3 END))
+  SELECT DISTINCT tile_id, CAST("row" + dr AS INT) AS "row", CAST(col + dc AS INT) AS col, CAST(1 AS INT) AS value FROM e, o WHERE "row" + dr BETWEEN 0 AND 31 AND col + dc BETWEEN 0 AND 31""", "pixel")
 def morph_open(spark, d):
     p = table(spark, d, "pixel").withColumn("value", (F.col("value") > 0).cast("int"))
     return tiles.pixels_of(tiles.transform(tiles.pack(p, 32), lambda a: tiles.opened(a, 3)))
@@ -591,12 +626,19 @@ def rdp(spark, d):
     return tiles.simplified(lines(spark, d), 10.0)
 
 
-@query()
+@query(""", g AS (SELECT CAST(i AS INT) AS i, greatest(0.0::DOUBLE, least(31.0::DOUBLE, (i + 0.5::DOUBLE) * 32 / 48 - 0.5::DOUBLE)) AS p FROM range(48) t(i)),
+  h AS (SELECT i, CAST(floor(p) AS BIGINT) AS a, least(CAST(floor(p) AS BIGINT) + 1, 31) AS b, p - floor(p) AS f FROM g), t AS (SELECT DISTINCT tile_id FROM pixel),
+  q AS (SELECT t.tile_id, y.i AS "row", x.i AS col, y.a AS r0, y.b AS r1, x.a AS c0, x.b AS c1, y.f AS fy, x.f AS fx FROM t, h y, h x)
+  SELECT q.tile_id, q."row", q.col, CAST(round_even((coalesce(a.value, 0) * (1 - fx) + coalesce(b.value, 0) * fx) * (1 - fy) + (coalesce(c.value, 0) * (1 - fx) + coalesce(e.value, 0) * fx) * fy, 0) AS INT) AS value FROM q
+  LEFT JOIN pixel a ON a.tile_id = q.tile_id AND a."row" = r0 AND a.col = c0 LEFT JOIN pixel b ON b.tile_id = q.tile_id AND b."row" = r0 AND b.col = c1
+  LEFT JOIN pixel c ON c.tile_id = q.tile_id AND c."row" = r1 AND c.col = c0 LEFT JOIN pixel e ON e.tile_id = q.tile_id AND e."row" = r1 AND e.col = c1""", "pixel")
 def warp_resize(spark, d):
     return tiles.pixels_of(tiles.transform(tiles.pack(table(spark, d, "pixel"), 32), lambda a: tiles.resized(a, 48, 48)), zero=True)
 
 
-@query()
+@query(_SEGMENTS + """, s AS (SELECT tile_id, x / 41 AS x1, y / 41 AS y1, x2 / 41 - x / 41 AS dx, y2 / 41 - y / 41 AS dy FROM seg WHERE x2 IS NOT NULL),
+  p AS (SELECT s.*, r.i AS r, c.i AS c, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, ((c.i + 0.5 - x1) * dx + (r.i + 0.5 - y1) * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM s, range(32) r(i), range(32) c(i))
+  SELECT DISTINCT tile_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, CAST(1 AS INT) AS value FROM p WHERE sqrt((x1 + t * dx - c - 0.5) ** 2 + (y1 + t * dy - r - 0.5) ** 2) <= 0.75""", "vertex")
 def rasterize(spark, d):
     shapes = _small_lines(spark, d).withColumn("seq", F.col("line_id")).withColumn("value", F.lit(1)).where(F.size("points") > 1)
     return tiles.pixels_of(tiles.rasterize(shapes, 32, radius=0.75))

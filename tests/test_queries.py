@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, duck, sf, name):
     assert columns == other
     assert len(mine) == len(theirs)
     assert mine == theirs
-    assert mine
+    assert mine or name == "morph_open"  # opening leaves nothing of the smallest tables
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
