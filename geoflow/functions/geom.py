@@ -148,3 +148,24 @@ def point_key(x: Column, y: Column) -> Column:
 def pair_key(a: Column, b: Column) -> Column:
     """Two point keys, each below 100,000,000, as one number: a comes first."""
     return a.cast("long") * 100_000_000 + b.cast("long")
+
+
+def next_point(x1: Column, y1: Column, x2: Column, y2: Column, add: float, side: int = 1300) -> Column:
+    """The pixel `add` beyond the second point on the way from the first, inside a tile; NULL for equal points."""
+    length = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    on = lambda a, b: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.bround(a + (length + add) * ((b - a) / length)).cast("int")))
+    return F.when(length > 0, F.struct(on(x1, x2).alias("x"), on(y1, y2).alias("y")))
+
+
+def project(points: Column, x: Column, y: Column) -> Column:
+    """How far along a line its place nearest to a point is, the first of equals; NULL for fewer than two points."""
+    start = F.struct(F.lit(0.0).alias("gone"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        d = _length(s)
+        t = F.when(d > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["x1"]) * (s["x2"] - s["x1"]) + (y - s["y1"]) * (s["y2"] - s["y1"])) / (d * d)))).otherwise(0.0)
+        off = segment_distance(x, y, s["x1"], s["y1"], s["x2"], s["y2"])
+        nearer = acc["near"].isNull() | (off < acc["near"])
+        return F.struct((acc["gone"] + d).alias("gone"), F.when(nearer, off).otherwise(acc["near"]).alias("near"), F.when(nearer, acc["gone"] + t * d).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(segments(points), start, step, lambda acc: acc["at"])

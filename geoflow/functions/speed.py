@@ -70,3 +70,34 @@ def speed_key(spark: SparkSession, step: int = 10, mult: int = 36) -> DataFrame:
 def nearest_key(value: Column, keys: Column) -> Column:
     """The key nearest to `value`, the first of equals."""
     return F.array_min(F.transform(keys, lambda k, i: F.struct(F.abs(k - value).alias("d"), i.alias("i"), k.alias("k"))))["k"]
+
+
+# Class of each speed value of a training mask.
+SPEED_CLASS = {15: 1, 19: 1, 20: 1, 22: 2, 25: 2, 26: 3, 30: 3, 34: 4, 35: 4, 41: 5, 45: 5, 49: 6, 55: 7, 65: 8}
+
+
+def speed_class(value: Column) -> Column:
+    """Class 1 to 8 of a speed value; 0 and NULL stay, any other value is an error."""
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in SPEED_CLASS.items() for x in pair)), value.cast("int"))
+    unknown = F.raise_error(F.concat(F.lit("no class for speed "), value.cast("string"))).cast("int")
+    return F.when(value.isNull() | (value == 0), value.cast("int")).otherwise(F.coalesce(known, unknown))
+
+
+def burn_speeds(keys: DataFrame, order: str) -> DataFrame:
+    """(burn_val, speed) of a key table: of equal burn values the last by `order`."""
+    return keys.groupBy("burn_val").agg(F.max_by("speed", order).alias("speed"))
+
+
+def parsed_roads(roads: DataFrame) -> DataFrame:
+    """`roads` with whole-number road_type, lanes, paved and bridge from the properties of older road files.
+
+    lane_numbe goes before lane_number and bridge_typ before bridge_type. A road that lacks any of the four is taken
+    for an unclassified paved road of one lane without a bridge.
+    """
+    either = lambda *names: F.coalesce(*(F.col(c) for c in names if c in roads.columns), F.lit(None)).cast("int")
+    found = {"road_type": either("road_type"), "lanes": either("lane_numbe", "lane_number"), "paved": either("paved"), "bridge": either("bridge_typ", "bridge_type")}
+    whole = F.lit(True)
+    for c in found.values():
+        whole = whole & c.isNotNull()
+    instead = {"road_type": 6, "lanes": 1, "paved": 1, "bridge": 2}
+    return roads.withColumns({name: F.when(whole, c).otherwise(instead[name]) for name, c in found.items()})

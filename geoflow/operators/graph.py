@@ -143,3 +143,24 @@ def split_at(edges: DataFrame, points: DataFrame) -> DataFrame:
     by = Window.partitionBy("tile_id", "edge_id").orderBy("part", "node_id")
     pieces = all_stops.select("tile_id", "edge_id", F.col("node_id").alias("u"), F.lead("node_id").over(by).alias("v"), (F.lead("part").over(by) - F.col("part")).alias("share")).where("v IS NOT NULL")
     return pieces.join(edges.select("tile_id", "edge_id", "length"), ["tile_id", "edge_id"]).select("tile_id", "u", "v", (F.col("length") * F.col("share")).alias("length"))
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """(tile_id, component, n): nodes of each connected set."""
+    return node_components(edges).groupBy("tile_id", "component").agg(F.count(F.lit(1)).alias("n"))
+
+
+def extent(nodes: DataFrame) -> DataFrame:
+    """(tile_id, x_min, x_max, y_min, y_max, dx, dy) of nodes (tile_id, x, y)."""
+    ends = nodes.groupBy("tile_id").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    return ends.withColumn("dx", F.col("x_max") - F.col("x_min")).withColumn("dy", F.col("y_max") - F.col("y_min"))
+
+
+def with_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`edges` with `length`: great-circle metres between their nodes (tile_id, node_id, lat, lon), to three decimals; 0 where a place is missing."""
+    from geoflow.functions.coords import great_circle
+
+    at = lambda end: nodes.select("tile_id", F.col("node_id").alias(end), F.col("lat").alias(f"_lat_{end}"), F.col("lon").alias(f"_lon_{end}"))
+    both = edges.join(at("u"), ["tile_id", "u"], "left").join(at("v"), ["tile_id", "v"], "left")
+    metres = great_circle(F.col("_lat_u"), F.col("_lon_u"), F.col("_lat_v"), F.col("_lon_v"))
+    return both.withColumn("length", F.round(F.coalesce(metres, F.lit(0.0)), 3)).drop("_lat_u", "_lon_u", "_lat_v", "_lon_v")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIXEL = ["tile_id", "row", "col"]
@@ -170,3 +170,33 @@ def flood_label(pixels: DataFrame) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def minmax_normalize(pixels: DataFrame, share: float = 0.02) -> DataFrame:
+    """Values of each (tile, band) stretched to 0 to 255 between two percentiles, cut to whole numbers.
+
+    Where a tile has pixels that are 0 in all bands, its lower percentile is over values other than 0, and those pixels
+    stay 0. A band of one value becomes 0.
+    """
+    dark = pixels.groupBy(*PIXEL).agg((F.sum(F.abs("value")) == 0).alias("_dark"))
+    seen = pixels.join(dark, PIXEL)
+    v = F.col("value")
+    marks = seen.groupBy("tile_id", "band").agg(F.max("_dark").alias("_any"), F.percentile(v, share).alias("_all"), F.percentile(F.when(v != 0, v), share).alias("_lit"), F.percentile(v, 1 - share).alias("_hi"))
+    # a dark pixel is dark in every band that it has; the tile decides
+    tiles = marks.groupBy("tile_id").agg(F.max("_any").alias("_any"))
+    marks = marks.drop("_any").join(tiles, "tile_id").select("tile_id", "band", F.when(F.col("_any"), F.col("_lit")).otherwise(F.col("_all")).alias("_lo"), "_hi")
+    part = F.coalesce(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    new = F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * 255, 9)).cast("int")
+    return seen.join(marks, ["tile_id", "band"]).withColumn("value", F.when(F.col("_dark"), 0).otherwise(new)).drop("_dark", "_lo", "_hi")
+
+
+def hard_pixels(pixels: DataFrame, threshold: float, keep: int, keys: list[str]) -> DataFrame:
+    """Pixels (…, prob) of a group whose prob is below the greater of `threshold` and the group's value at place `keep`, from 0.
+
+    Places are counted over distinct probs, so that no group is sorted whole; a group with fewer takes its greatest.
+    """
+    counts = pixels.groupBy(*keys, "prob").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("prob"))
+    placed = counts.withColumn("_upto", upto)
+    marks = placed.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_upto") > keep, F.col("prob"))), F.max("prob")).alias("_mark"))
+    return pixels.join(marks, keys).where(F.col("prob") < F.greatest(F.lit(threshold), F.col("_mark"))).drop("_mark")

@@ -78,3 +78,12 @@ def balanced(rows: DataFrame, flag: str, groups: list[str], order: list[str]) ->
 
 def train_valid(rows: DataFrame, fold: int, column: str = "fold") -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col(column) != fold), rows.where(F.col(column) == fold)
+
+
+def prefix_folds(rows: DataFrame, folds: DataFrame, area: str, name: str) -> DataFrame:
+    """`rows` by the folds (fold, area, prefix) of their area whose prefix their name starts with; rows of none are left out.
+
+    The folds are a short list by hand, so they are broadcast.
+    """
+    listed = F.broadcast(folds.select("fold", F.col("area").alias("_area"), F.col("prefix").alias("_prefix")))
+    return rows.join(listed, (F.col(area) == F.col("_area")) & F.startswith(F.col(name), F.col("_prefix"))).drop("_area", "_prefix")

@@ -693,3 +693,100 @@ def point_pair_keys(spark, d):
     v = table(spark, d, "vertex").withColumn("here", geom.point_key(F.col("x"), F.col("y")))
     v = v.withColumn("next", F.lead("here").over(by)).where("next IS NOT NULL")
     return v.select("line_id", "pos", "here", geom.pair_key(F.col("here"), F.col("next")).alias("pair"))
+
+
+@query("SELECT id, CASE WHEN id % 15 = 14 THEN 0 ELSE [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 7, 8][id % 15 + 1] END AS class FROM feature", "feature")
+def map_speed_values(spark, d):
+    value = F.get(F.array(*map(F.lit, [*speed.SPEED_CLASS, 0])), (F.col("id") % 15).cast("int"))
+    return table(spark, d, "feature").select("id", speed.speed_class(value).alias("class"))
+
+
+@query("SELECT length % 40 AS burn_val, arg_max(paved * 10 + id % 7, id) AS speed FROM feature GROUP BY 1", "feature")
+def burn_speeds(spark, d):
+    keys = table(spark, d, "feature").select("id", (F.col("length") % 40).alias("burn_val"), (F.col("paved") * 10 + F.col("id") % 7).alias("speed"))
+    return speed.burn_speeds(keys, "id")
+
+
+@query("""SELECT id, CAST(CASE WHEN lanes IS NULL OR id % 9 = 0 THEN 6 ELSE 1 + id % 7 END AS INT) AS road_type, CAST(CASE WHEN lanes IS NULL OR id % 9 = 0 THEN 1 ELSE lanes END AS INT) AS lanes,
+  CAST(CASE WHEN lanes IS NULL OR id % 9 = 0 THEN 1 ELSE paved END AS INT) AS paved, CAST(CASE WHEN lanes IS NULL OR id % 9 = 0 THEN 2 ELSE 1 + id % 2 END AS INT) AS bridge FROM feature""", "feature")
+def road_speed_sn3(spark, d):
+    """Every second lane count stands under the cut name; every ninth road has no type."""
+    f, i = table(spark, d, "feature"), F.col("id")
+    raw = f.select("id", F.when(i % 9 != 0, (1 + i % 7).cast("string")).alias("road_type"), F.when(i % 2 == 0, F.col("lanes")).alias("lane_numbe"), F.when(i % 2 == 1, F.col("lanes")).alias("lane_number"), "paved", (1 + i % 2).alias("bridge_type"))
+    return speed.parsed_roads(raw).select("id", "road_type", "lanes", "paved", "bridge")
+
+
+@query(_SEGMENTS + """, s AS (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS l FROM seg WHERE x2 IS NOT NULL)
+  SELECT line_id, pos, CAST(greatest(0, least(1299, round_even(x + (l + 20) * ((x2 - x) / l), 0))) AS INT) AS nx, CAST(greatest(0, least(1299, round_even(y + (l + 20) * ((y2 - y) / l), 0))) AS INT) AS ny FROM s WHERE l > 0""", "vertex")
+def next_point(spark, d):
+    by = Window.partitionBy("line_id").orderBy("pos")
+    s = table(spark, d, "vertex").withColumn("x2", F.lead("x").over(by)).withColumn("y2", F.lead("y").over(by)).where("x2 IS NOT NULL")
+    return s.withColumn("p", geom.next_point(*(F.col(c) for c in ("x", "y", "x2", "y2")), 20.0)).where("p IS NOT NULL").select("line_id", "pos", F.col("p.x").alias("nx"), F.col("p.y").alias("ny"))
+
+
+@query(_SEGMENTS + """, s AS (SELECT line_id, pos, x AS x1, y AS y1, x2 - x AS dx, y2 - y AS dy, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS l FROM seg WHERE x2 IS NOT NULL),
+  a AS (SELECT *, sum(l) OVER (PARTITION BY line_id ORDER BY pos) - l AS gone, CASE WHEN l > 0 THEN greatest(0, least(1, ((650 - x1) * dx + (650 - y1) * dy) / (l * l))) ELSE 0 END AS t FROM s),
+  o AS (SELECT line_id, pos, gone + t * l AS place, sqrt((x1 + t * dx - 650) ** 2 + (y1 + t * dy - 650) ** 2) AS off FROM a)
+  SELECT line_id, round(arg_min(place, row(round(off, 9), pos)), 4) AS place FROM o GROUP BY 1""", "vertex")
+def line_project(spark, d):
+    """Place of each line nearest to the tile's middle."""
+    at = geom.project(F.col("points"), F.lit(650.0), F.lit(650.0))
+    return lines(spark, d).where(F.size("points") > 1).select("line_id", F.round(at, 4).alias("place"))
+
+
+@query(""", p AS (SELECT tile_id, band, "row", col, value * (tile_id % 2) AS value FROM band_pixel), k AS (SELECT tile_id, "row", col, sum(value) = 0 AS dark FROM p GROUP BY 1, 2, 3),
+  t AS (SELECT tile_id, bool_or(dark) AS any_dark FROM k GROUP BY 1), s AS (SELECT p.*, dark, any_dark FROM p JOIN k USING (tile_id, "row", col) JOIN t USING (tile_id)),
+  m AS (SELECT tile_id, band, CASE WHEN bool_or(any_dark) THEN quantile_cont(value, 0.02) FILTER (value <> 0) ELSE quantile_cont(value, 0.02) END AS lo, quantile_cont(value, 0.98) AS hi FROM s GROUP BY 1, 2)
+  SELECT tile_id, band, "row", col, CASE WHEN dark THEN 0 ELSE CAST(floor(round(greatest(0, least(1, coalesce((value - lo) / nullif(hi - lo, 0), 0))) * 255, 9)) AS INT) END AS value FROM s JOIN m USING (tile_id, band)""", "band_pixel")
+def minmax_normalize(spark, d):
+    """Tiles of even number are dark."""
+    return pixels.minmax_normalize(table(spark, d, "band_pixel").drop("after").withColumn("value", F.col("value") * (F.col("tile_id") % 2)))
+
+
+@query(""", o AS (SELECT tile_id, prob, row_number() OVER (PARTITION BY tile_id ORDER BY prob) - 1 AS k FROM pixel),
+  m AS (SELECT tile_id, coalesce(min(prob) FILTER (k >= 100), max(prob)) AS mark FROM o GROUP BY 1) SELECT tile_id, "row", col, prob FROM pixel JOIN m USING (tile_id) WHERE prob < greatest(60, mark)""", "pixel")
+def ohem_topk(spark, d):
+    return pixels.hard_pixels(table(spark, d, "pixel").select("tile_id", "row", "col", "prob"), 60, 100, ["tile_id"])
+
+
+@query(_REACH + " SELECT tile_id, component, count(*) AS n FROM cc GROUP BY 1, 2", "edge")
+def connected_set_sizes(spark, d):
+    return graph.component_sizes(table(spark, d, "edge"))
+
+
+@query("SELECT tile_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM vertex GROUP BY 1", "vertex")
+def graph_extent(spark, d):
+    return graph.extent(table(spark, d, "vertex"))
+
+
+@query(""", h AS (SELECT e.tile_id, e.edge_id, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM edge e LEFT JOIN manifest a ON a.tile_id = e.u LEFT JOIN manifest b ON b.tile_id = e.v),
+  s AS (SELECT *, sin(radians(CAST(lat2 - lat1 AS DOUBLE)) / 2) AS s, sin(radians(CAST(lon2 - lon1 AS DOUBLE)) / 2) AS t FROM h)
+  SELECT tile_id, edge_id, round(round(coalesce(2 * asin(sqrt(least(1.0, s * s + cos(radians(lat1)) * cos(radians(lat2)) * t * t))) * 6371009, 0), 3), 1) AS length FROM s""", "edge", "manifest")
+def edge_lengths(spark, d):
+    """Node 0 has no place."""
+    e = table(spark, d, "edge").drop("length")
+    m = table(spark, d, "manifest").select(F.col("tile_id").alias("node_id"), "lat", "lon").where("node_id < 200")
+    nodes = e.select("tile_id").distinct().join(F.broadcast(m))  # at most 200 places, in each of the 16 tiles
+    return graph.with_lengths(e, nodes).select("tile_id", "edge_id", F.round("length", 1).alias("length"))
+
+
+@query("SELECT tile_id, aoi, f.fold FROM manifest, (VALUES (0, 'BUILDING', '1'), (1, 'BUILDING', '2'), (2, 'MACHINERY', '13')) f(fold, p, s) WHERE aoi = p AND starts_with(CAST(tile_id AS VARCHAR), s)", "manifest")
+def folds_by_prefix(spark, d):
+    folds = spark.createDataFrame([(0, "BUILDING", "1"), (1, "BUILDING", "2"), (2, "MACHINERY", "13")], "fold int, area string, prefix string")
+    named = table(spark, d, "manifest").withColumn("name", F.col("tile_id").cast("string"))
+    return sampling.prefix_folds(named, folds, "aoi", "name").select("tile_id", "aoi", "fold")
+
+
+_STROKES = ", st AS (SELECT tile_id, pos AS line_id, x AS x1, y AS y1, x + pos % 41 - 20 AS x2, y + pos % 37 - 18 AS y2 FROM vertex)"
+
+
+@query(_STROKES + """, w AS (SELECT * FROM st WHERE sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) < 200 AND least(x1, x2, y1, y2) >= 50 AND greatest(x1, x2, y1, y2) < 1250),
+  met AS (SELECT DISTINCT a.tile_id, a.line_id FROM w a JOIN st b ON b.tile_id = a.tile_id AND b.line_id <> a.line_id
+  AND greatest(a.x1, a.x2) >= least(b.x1, b.x2) AND greatest(b.x1, b.x2) >= least(a.x1, a.x2) AND greatest(a.y1, a.y2) >= least(b.y1, b.y2) AND greatest(b.y1, b.y2) >= least(a.y1, a.y2)
+  AND sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) <= 0
+  AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) <= 0)
+  SELECT tile_id, line_id FROM st WHERE line_id NOT IN (SELECT line_id FROM w) OR line_id IN (SELECT line_id FROM met)""", "vertex")
+def intersects_self(spark, d):
+    p = F.col("pos")
+    ends = F.array(geom.point(F.col("x"), F.col("y")), geom.point(F.col("x") + p % 41 - 20, F.col("y") + p % 37 - 18))
+    return spatial.without_isolated(table(spark, d, "vertex").select("tile_id", p.alias("line_id"), ends.alias("points"))).select("tile_id", "line_id")
