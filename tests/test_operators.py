@@ -208,3 +208,60 @@ def test_topology_and_lovasz(spark):
     want = (e[order] * np.diff(np.concatenate([[0], j]))).sum()
     got = metrics.lovasz(spark.createDataFrame([(1, int(a), float(b)) for a, b in zip(truth, prob, strict=True)], "tile_id int, truth int, prob double"), ["tile_id"]).first()["lovasz"]
     assert got == pytest.approx(want)
+
+
+def test_speed_classes(spark):
+    from pyspark.errors import PySparkException
+
+    got = spark.createDataFrame([(0,), (15,), (26,), (65,), (None,)], "v int").select(speed.speed_class(F.col("v")).alias("c"))
+    assert [r.c for r in got.collect()] == [0, 1, 3, 8, None]
+    with pytest.raises(PySparkException, match="no class for speed 16"):
+        spark.createDataFrame([(16,)], "v int").select(speed.speed_class(F.col("v")).alias("c")).collect()
+
+
+def test_next_point_and_place_on_line(spark):
+    one = spark.range(1)
+    far = lambda *p: one.select(geom.next_point(*map(F.lit, p), 20.0).alias("p")).first().p
+    assert tuple(far(0.0, 0.0, 0.0, 10.0)) == (0, 30)
+    assert tuple(far(100.0, 5.0, 50.0, 5.0)) == (30, 5)
+    assert tuple(far(10.0, 0.0, 1295.0, 0.0)) == (1299, 0)
+    assert far(3.0, 3.0, 3.0, 3.0) is None
+    line = F.array(*(geom.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (10, 0), (10, 10))))
+    at = lambda x, y: one.select(geom.project(line, F.lit(x), F.lit(y)).alias("d")).first().d
+    assert [at(4.0, 3.0), at(-5.0, 0.0), at(12.0, 6.0), at(10.0, 50.0), at(5.0, 5.0)] == [4.0, 0.0, 16.0, 20.0, 5.0]
+    assert one.select(geom.project(F.slice(line, 1, 1), F.lit(1.0), F.lit(1.0)).alias("d")).first().d is None
+
+
+def test_isolated_lines_go(spark):
+    rows = [
+        (1, 1, [(100, 100), (150, 100)]),  # alone
+        (1, 2, [(300, 300), (350, 350)]),  # crosses 3
+        (1, 3, [(300, 350), (350, 300)]),
+        (1, 4, [(600, 600), (900, 600)]),  # long
+        (1, 5, [(10, 700), (60, 700)]),  # at the border
+        (1, 6, [(800, 600), (800, 650)]),  # touches 4
+        (2, 7, [(100, 100), (150, 100)]),  # like 1, in another tile
+        (3, 8, [(500, 500), (520, 500)]),  # on one line with 9, without a common point
+        (3, 9, [(521, 500), (540, 500)]),
+    ]
+    df = spark.createDataFrame([(t, i, [(float(x), float(y)) for x, y in p]) for t, i, p in rows], f"tile_id int, line_id int, points {geom.POINTS}")
+    assert sorted(r.line_id for r in spatial.without_isolated(df).collect()) == [2, 3, 4, 5, 6]
+    assert spatial.without_isolated(df.where("false")).count() == 0
+
+
+def test_stretch_and_hard_pixels(spark):
+    px = spark.createDataFrame([(1, 0, c, b, v) for c in range(4) for b, v in ((0, c * 10), (1, 7 if c else 0))], "tile_id int, row int, col int, band int, value int")
+    got = {(r.band, r.col): r.value for r in pixels.minmax_normalize(px, 0.0).collect()}
+    assert [got[0, c] for c in range(4)] == [0, 0, 127, 255]  # the dark pixel stays, the least other value becomes 0
+    assert [got[1, c] for c in range(4)] == [0, 0, 0, 0]  # a band of one value
+    p = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.1, 0.2, 0.2, 0.2, 0.9])], "tile_id int, id int, prob double")
+    ids = lambda t, k: sorted(r.id for r in pixels.hard_pixels(p, t, k, ["tile_id"]).collect())
+    assert ids(0.0, 1) == [0]
+    assert ids(0.5, 1) == [0, 1, 2, 3]
+    assert ids(0.0, 99) == [0, 1, 2, 3]
+
+
+def test_older_road_columns(spark):
+    df = spark.createDataFrame([("3", None, 2, 1, 1), ("3", "4", 2, 1, 1), (None, "4", 2, 1, 1)], "road_type string, lane_numbe string, lane_number int, paved int, bridge_type int")
+    got = [tuple(r) for r in speed.parsed_roads(df).select("road_type", "lanes", "paved", "bridge").collect()]
+    assert got == [(3, 2, 1, 1), (3, 4, 1, 1), (6, 1, 1, 2)]
