@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoflow.llm import templates
+from geoflow.llm import secret_scan, templates
 
 _SLOTS = ", ".join(f"'{x}'" for x in templates.SLOTS)
 _UNITS = ", ".join(f"'{x}'" for x in templates.UNITS)
@@ -162,3 +162,43 @@ FROM unions
 """.replace("DISTINCT_OF", "(CASE WHEN len(own) < 128 THEN len(own)::DOUBLE ELSE 127 / ((own[128]::DOUBLE + 1) / 18446744073709551616::DOUBLE) END)").replace(
     "UNION_OF", "(CASE WHEN len(with_edited) < 128 THEN len(with_edited)::DOUBLE ELSE 127 / ((with_edited[128]::DOUBLE + 1) / 18446744073709551616::DOUBLE) END)"
 )
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_BASE = " UNION ALL ".join(
+    f"SELECT doc_id, k, {kind} AS kind, string_split_regex(t, '{_quoted(p)}') AS gaps, regexp_extract_all(t, '{_quoted(p)}') AS found, {group} AS part, {least} AS least, '{_quoted(p)}' AS p FROM texts"
+    for kind, (_, p, group, least) in enumerate(secret_scan.BASE)
+)
+_CLASS = " ".join(
+    f"WHEN len(f) >= {window} AND " + " AND ".join(f"regexp_matches(f, '{x}')" for x in ([f"^{p}$"] if p else secret_scan.MIXED)) + f" THEN {kind}"
+    for kind, (_, p, _, window, _) in enumerate(secret_scan.CLASSES, len(secret_scan.BASE))
+)
+_WINDOW = "CASE kind " + " ".join(f"WHEN {kind} THEN {c[3]}" for kind, c in enumerate(secret_scan.CLASSES, len(secret_scan.BASE))) + " END"
+_LIMIT = "CASE kind " + " ".join(f"WHEN {kind} THEN {secret_scan.limit(c[3], c[4])}" for kind, c in enumerate(secret_scan.CLASSES, len(secret_scan.BASE))) + " END"
+_WEIGHTS = str([secret_scan.weight(n) for n in range(1, 1 + max(c[3] for c in secret_scan.CLASSES))])
+_KINDS = str(secret_scan.KINDS)
+
+# every window of every candidate by itself: its characters grouped and counted
+OP11 = f"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+looked AS ({_BASE} UNION ALL SELECT doc_id, k, 99, string_split_regex(t, '{secret_scan.CANDIDATE}'), regexp_extract_all(t, '{secret_scan.CANDIDATE}'), 0, 0, '' FROM texts),
+each AS (SELECT k, kind, part, least, p, unnest(found) AS f, unnest(gaps[1:len(found)]) AS g, generate_subscripts(found, 1) AS i FROM looked WHERE len(found) > 0),
+placed AS (SELECT *, (sum(len(f) + len(g)) OVER (PARTITION BY k, kind ORDER BY i))::BIGINT AS e FROM each),
+base AS (SELECT k, e - len(f) AS s, kind, e FROM placed WHERE kind < 99 AND len(CASE WHEN part > 0 THEN regexp_extract(f, p, 2) ELSE f END) >= least),
+runs AS (SELECT k, i, f, e - len(f) AS s, CASE WHEN regexp_matches(lower(f), '{secret_scan.ALLOW}') THEN NULL {_CLASS} END AS kind FROM placed WHERE kind = 99),
+chars AS (SELECT k, i, s, kind, {_WINDOW} AS w, len(f) AS n, unnest(string_split(f, '')) AS c, generate_subscripts(string_split(f, ''), 1) AS q FROM runs WHERE kind IS NOT NULL),
+spread AS (SELECT k, i, s, kind, w, c, unnest(range(greatest(q, w), least(q + w - 1, n) + 1)) AS z FROM chars),
+counted AS (SELECT k, i, s, kind, w, z, count(*) AS n FROM spread GROUP BY k, i, s, kind, w, z, c),
+hits AS (SELECT k, i, s, kind, w, z FROM counted GROUP BY k, i, s, kind, w, z HAVING sum({_WEIGHTS}[n]) <= any_value({_LIMIT})),
+news AS (SELECT *, coalesce(z - w > lag(z) OVER (PARTITION BY k, i ORDER BY z), true) AS new FROM hits),
+parts AS (SELECT *, sum(new::INT) OVER (PARTITION BY k, i ORDER BY z) AS part FROM news),
+more AS (SELECT k, any_value(s) + min(z) - any_value(w) AS s, any_value(kind) AS kind, any_value(s) + max(z) AS e FROM parts GROUP BY k, i, part),
+said AS (SELECT k, kind, s, e, {_KINDS}[kind + 1] || ':' || s || ':' || e AS x FROM (SELECT k, s, kind, e FROM base UNION ALL SELECT k, s, kind, e FROM more)),
+whole AS (SELECT k, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(x, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS b, string_agg(x, ',' ORDER BY s, kind, e) AS spans FROM said GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN whole USING (k)
+"""
