@@ -39,12 +39,15 @@ def random_texts(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+TEXTS = sorted(set(queries.oracle_sql()) - {"op12_hard_negatives"})  # that one reads vectors, see test_negatives.py
+
+
+@pytest.mark.parametrize("name", TEXTS)
 def test_query_equals_sql(spark, sf, name):
     assert compare(spark, name, sf)
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("name", TEXTS)
 def test_query_equals_sql_on_odd_texts(spark, tmp_path, name):
     texts = [*random_texts(1), *ODD]
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts, 1)]
