@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import documents, in_arrow
+from geoflow.llm.common import documents, fresh, in_arrow
 
 #: Pre-tokenization of byte-level BPE (fixed value), with white space written out.
 _S = r"\t-\r \x85\xa0  -     　"
@@ -250,8 +251,9 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", digest: bool =
     """
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {"n_tokens": "long", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
     keep = [c for c in df.columns if c != text and c not in made]
-    df = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = df.drop("_text").schema
+    own = fresh(df, "_text")
+    df = df.select(*keep, F.col(text).cast("string").alias(own))
+    schema = df.drop(own).schema
     for name, kind in made.items():
         schema = schema.add(name, kind, True)
 
@@ -262,9 +264,10 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", digest: bool =
 
         encoder = Encoder(path)
         for whole in batches:
-            for batch in _rows_at_once(whole, "_text"):
+            coded = encoder.texts(whole.column(own))  # distinct words of the whole batch once; only what comes out is sliced
+            for batch in _rows_at_once(whole, own):
                 n, a, b = [], [], []
-                for ids in encoder.texts(batch.column("_text")):
+                for ids in islice(coded, batch.num_rows):
                     n.append(len(ids))
                     data = ids.astype("<u4")
                     back = encoder.v.decode(ids)

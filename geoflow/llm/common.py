@@ -63,6 +63,14 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> Data
     return df.mapInArrow(released, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """`df` with `value` computed once a row: a generator's output, which no later lambda computes again."""
     return df.select("*", F.explode(F.array(value)).alias(name))

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from geoflow.llm.common import in_arrow, spill
 
-#: A subtree is a template of its host if at least so many of the host's different pages, and this share of them, have it.
-MIN_PAGES, MIN_SHARE = 5, 0.5
+#: A container is a template of its host if at least so many of the host's different pages have it; other subtrees, and
+#: containers in an article that hold more than SHORT words, must also be on this share of the pages.
+MIN_PAGES, MIN_SHARE, SHORT = 5, 0.5, 40
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,23 +33,38 @@ NOT_NAMES = frozenset(
     "newsletter subscribe subscription popup modal overlay comment comments commentlist disqus replies respond sidebar nav navbar navigation menu "
     "breadcrumb breadcrumbs footer share sharing social related recommended widget login signup pagination pager toolbar masthead skip paywall".split()
 )
+# Those that also begin compound names inside an article; compound names beside the article, and the elements that hold others: only those go by a class or id.
+BEGIN = frozenset("ad ads adv advert advertisement adsense banner sponsor sponsored promo cookie consent newsletter subscribe popup modal comment comments disqus respond paywall".split())
+BESIDE = frozenset("site-header page-header top-bar topbar site-footer page-footer left-col right-col side-col left-column right-column left-rail right-rail side-rail".split())
+CONTAINERS = frozenset("address aside center details div dir dl figure footer form frameset header hgroup li menu nav ol section table tbody td tr ul".split())
 
 _OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
 _QUOTE = re.compile(r"""[>"']""")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether HTML says that an element is not the article. Inside one, a class or id must be such a name as a whole."""
+    """Whether HTML says that an element is not the article: by its tag, role, style or, if it is a container, its names.
+
+    Inside an article a class or id must be such a name or begin with one (`ad-slot`, `comment-list`); outside, any word
+    of it counts. A paragraph or heading never goes by a name.
+    """
     if tag in NOT_TEXT or tag == "header" and not in_article:
         return True
     for name, value in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes.lower() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOT_ROLES:
             return True
-        if name in ("class", "id") and tag not in OPEN - {"article"} and not NOT_NAMES.isdisjoint(value.split() if in_article else _WORD.findall(value)):
+        if name == "style" and _UNSEEN.search(value):
             return True
+        if name in ("class", "id") and tag in CONTAINERS:
+            names = value.replace("_", "-").split()
+            if not NOT_NAMES.isdisjoint(names if in_article else _WORD.findall(value)) or not BESIDE.isdisjoint(names):
+                return True
+            if not BEGIN.isdisjoint(n.split("-")[0] for n in names):
+                return True
     return False
 
 
@@ -97,7 +113,8 @@ class Page:
     """A parsed page: blocks (text, inside an article or main, unwanted, innermost subtree), and subtrees as hashes and parents.
 
     Every element that stands for itself is a subtree; its hash covers its tags, its text and the hashes of the
-    subtrees in it. `within` tells which subtrees are in a root.
+    subtrees in it. `loose` tells which subtrees are templates by the number of pages alone: containers outside of
+    roots, or of few words.
     """
 
     def __init__(self, page: str | None):
@@ -106,7 +123,8 @@ class Page:
         self.blocks: list[tuple[str, bool, bool, int]] = []
         self.hashes: list[int] = []
         self.parents: list[int] = []
-        self.within: list[bool] = []
+        box: list[bool] = []
+        within: list[bool] = []
         page = page or ""
         stack: list[_Element] = [_Element("", False, False, -1, [])]
         open_count: Counter[str] = Counter()
@@ -182,13 +200,22 @@ class Page:
                     number = len(self.hashes)
                     self.hashes.append(0)
                     self.parents.append(up.number)
-                    self.within.append(inside)
+                    box.append(tag in CONTAINERS)
+                    within.append(inside)
             stack.append(_Element(tag, unwanted, inside, number, parts))
             open_count[tag] += 1
         if at < len(page):
             buffer.append(html.unescape(page[at:]))
         flush()
         close(1)
+        words = [0] * len(self.hashes)
+        for text, _, _, number in self.blocks:
+            if number >= 0:
+                words[number] += text.count(" ") + 1
+        for k in range(len(words) - 1, -1, -1):  # parents come first
+            if self.parents[k] >= 0:
+                words[self.parents[k]] += words[k]
+        self.loose = [b and (not i or n <= SHORT) for b, i, n in zip(box, within, words, strict=True)]
 
     def text(self, templates: frozenset[int] = frozenset()) -> str:
         """The article, one block a line: first the subtrees whose hash is in `templates` go, then unwanted elements and,
@@ -214,7 +241,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """(host, templates) of `pages` (host, html): hashes of the subtrees, of any element from head to foot, that recur
     across a host's different pages; copies of one page count once, so an article that is repeated is no template.
 
-    A host's list is bounded by the size of its pages: each of its hashes is in at least `min_share` of them.
+    Containers need `min_pages` pages; paragraphs, headings and long containers of an article `min_share` of the host's
+    pages too, as articles may quote each other. A host's list holds what recurs on its pages, not their texts.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -222,20 +250,24 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         import xxhash
 
         for batch in batches:
-            hosts, sums, out = [], [], []
+            hosts, sums, out, loose = [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 page = page.as_py() or ""
-                found = set(Page(page).hashes)
+                parsed = Page(page)
+                found: dict[int, bool] = {}
+                for h, x in zip(parsed.hashes, parsed.loose, strict=True):
+                    found[h] = x or found.get(h, False)
                 out += map(_signed, found)
+                loose += found.values()
                 hosts += [host] * len(found)
                 sums += [_signed(xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")))] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64()), pa.array(sums, pa.int64())], ["host", "h", "sum"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64()), pa.array(sums, pa.int64()), pa.array(loose, pa.bool_())], ["host", "h", "sum", "loose"])
 
     known = pages.where("host <> ''")
-    each = in_arrow(known.select("host", "html"), run, "host string, h long, sum long").distinct()
-    seen = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    each = in_arrow(known.select("host", "html"), run, "host string, h long, sum long, loose boolean").distinct()
+    seen = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.max("loose").alias("loose")).where(F.col("n") >= min_pages)
     of = known.select("host", F.xxhash64("html").alias("sum")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return seen.join(of, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("templates"))
+    return seen.join(of, "host").where(F.col("loose") | (F.col("n") >= min_share * F.col("pages"))).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
 def extract_text(df: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -256,7 +288,12 @@ def extract_text(df: DataFrame, url: str = "url", page: str = "html") -> DataFra
         import pyarrow as pa
 
         for batch in batches:
-            out = [main_text(p.as_py(), frozenset(h & (1 << 64) - 1 for h in t.as_py() or ())) for p, t in zip(batch.column("html"), batch.column("templates"), strict=True)]
+            of: dict[str, frozenset] = {}  # one set a host of the batch
+            out = []
+            for p, h, t in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("templates"), strict=True):
+                if h not in of:
+                    of[h] = frozenset(x & (1 << 64) - 1 for x in t.as_py() or ())
+                out.append(main_text(p.as_py(), of[h]))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(out, pa.string())], schema.names)
 
     done = in_arrow(rows, run, schema)

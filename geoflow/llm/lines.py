@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import documents, in_arrow, spill
+from geoflow.llm.common import documents, fresh, in_arrow, spill
 
 
 def _numbered(lines: list, first: int) -> dict[tuple, int]:
@@ -64,7 +64,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_lines(a: list[int | None], b: list[int | None]) -> list[int]:
-    """Places in `b` of the aligned blocks that hold a line of text; None stands for a blank line."""
+    """Places in `b` of the aligned blocks that hold a line of text, and of the lines of `a` outside of them; None stands for a blank line."""
     gone, block, last = [], [], (-2, -2)
     for p, q in [*patience(a, b), (-9, -9)]:
         if (p, q) != (last[0] + 1, last[1] + 1):
@@ -73,7 +73,9 @@ def common_lines(a: list[int | None], b: list[int | None]) -> list[int]:
             block = []
         block.append(q)
         last = (p, q)
-    return gone
+    # lines that moved, and further repeats of a line, align by themselves
+    known, taken = set(a) - {None}, set(gone)
+    return gone + [q for q, x in enumerate(b) if x in known and q not in taken]
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -113,15 +115,17 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     keep = [c for c in df.columns if c not in ("n_lines", "n_deleted", "partners")]
     df = df.select(*keep)
     docs = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("sum", F.xxhash64("text"))
-    found = spill(duplicate_lines(docs.select("id", "sum", "text")), "gone").select(F.col("id").alias("_id"), F.col("sum").alias("_sum"), "gone", "partners")
-    rows = df.join(found, F.col(id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("_sum")), "left")
+    own = fresh(df, "_found")
+    found = spill(duplicate_lines(docs.select("id", "sum", "text")), "gone").select(F.struct("id", "sum", "gone", "partners").alias(own))
+    rows = df.join(found, F.col(id).cast("long").eqNullSafe(F.col(f"{own}.id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col(f"{own}.sum")), "left")
     lines = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    gone = F.col(f"{own}.gone")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
     return rows.select(
-        *(F.when(F.col("gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in keep),
+        *(F.when(gone.isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in keep),
         F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
-        F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_deleted"),
+        F.coalesce(F.col(f"{own}.partners"), F.array().cast("array<bigint>")).alias("partners"),
     )
 
 

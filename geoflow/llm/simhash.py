@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import components, documents, in_arrow, spill
+from geoflow.llm.common import components, documents, fresh, in_arrow, spill
 from geoflow.llm.shingles import shingle_hashes
 
 BITS = 64
@@ -28,8 +28,9 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int =
     """
     made = {"fp": words, **(also or {})}
     keep = [c for c in df.columns if c not in (text, *made)]
-    df = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = df.drop("_text").schema
+    own = fresh(df, "_text")
+    df = df.select(*keep, F.col(text).cast("string").alias(own))
+    schema = df.drop(own).schema
     for name in made:
         schema = schema.add(name, "long", True)
 
@@ -48,7 +49,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, seed: int =
             return int(weights[2 * votes > n].sum(dtype="uint64").astype("int64"))
 
         for batch in batches:
-            fps = [[one(x.as_py(), n) for x in batch.column("_text")] for n in made.values()]
+            fps = [[one(x.as_py(), n) for x in batch.column(own)] for n in made.values()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in fps)], [*keep, *made])
 
     return in_arrow(df, run, schema)
@@ -367,8 +368,9 @@ def simhash_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", words:
     of = both.groupBy("label").agg(F.min("least").alias("kept"))
     kept = spill(both.join(of, "label").select("sum", "kept"), "kept")
     sums = docs.select("id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum"))
-    drop = spill(sums.join(kept, "sum").where("kept < id").select(F.col("id").alias("_gone")).distinct(), "copies")
-    return df.join(drop, F.col(id).cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(df, "_gone")
+    drop = spill(sums.join(kept, "sum").where("kept < id").select(F.col("id").alias(gone)).distinct(), "copies")
+    return df.join(drop, F.col(id).cast("long") == F.col(gone), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import documents, in_arrow, partitions
+from geoflow.llm.common import documents, fresh, in_arrow, partitions
 from geoflow.llm.shingles import shingle_hashes
 
 #: Hashes a sketch keeps: the standard error of a resemblance is at most 0.5 / sqrt(K).
@@ -62,16 +62,17 @@ class Sketch:
 def fingerprint(df: DataFrame, text: str = "text", words: int = 5, k: int = K) -> DataFrame:
     """`df` without `text`, with `fingerprint`: hex of the k smallest shingle hashes ("" for null, empty, blank)."""
     keep = [c for c in df.columns if c not in (text, "fingerprint")]
-    df = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    own = fresh(df, "_text")
+    df = df.select(*keep, F.col(text).cast("string").alias(own))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out = [str(Sketch.of(x.as_py(), words, k)) for x in batch.column("_text")]
+            out = [str(Sketch.of(x.as_py(), words, k)) for x in batch.column(own)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "fingerprint"])
 
-    return in_arrow(df, run, df.drop("_text").schema.add("fingerprint", "string", True))
+    return in_arrow(df, run, df.drop(own).schema.add("fingerprint", "string", True))
 
 
 def merged(df: DataFrame, by: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:

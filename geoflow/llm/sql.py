@@ -5,6 +5,8 @@ from __future__ import annotations
 from geoflow.llm import secret_scan, templates
 
 _SLOTS = ", ".join(f"'{x}'" for x in templates.SLOTS)
+_UNIT = "|".join(templates.UNITS)
+_NUMBERS = "|".join(templates.NUMBERS)
 _UNITS = ", ".join(f"'{x}'" for x in templates.UNITS)
 _COUNTS = """count(DISTINCT nth) AS n_windows, count(DISTINCT CASE WHEN NOT dense THEN nth END) AS n_usual,
     any_value(total) AS item_windows, any_value(usual) AS usual, sum(slots) AS slots"""
@@ -19,10 +21,12 @@ WITH texts AS (
 words AS (
   SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
     SELECT k, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0d \x02]+'), lambda x: x <> '') AS ws FROM texts)),
-cores AS (
+bare AS (
   SELECT k, i, regexp_replace(regexp_replace(w, '^[^\p{{L}}\p{{N}}$€£+\-]+', ''), '[^\p{{L}}\p{{N}}%]+$', '') AS c,
     coalesce(regexp_matches(lag(w) OVER (PARTITION BY k ORDER BY i), '[.!?:]["'')\]]*$'), true) AS starts FROM words),
-kinds AS (SELECT *, regexp_full_match(c, '[+\-]?[$€£]?[0-9][0-9.,:/]*%?') AS num FROM cores),
+parted AS (SELECT *, CASE WHEN regexp_full_match(c, '([+\-]?[$€£]?[0-9][0-9.,:/]*)((?i:{_UNIT}))') THEN [regexp_extract(c, '^[+\-]?[$€£]?[0-9][0-9.,:/]*'), regexp_replace(c, '^[+\-]?[$€£]?[0-9][0-9.,:/]*', '')] ELSE [c] END AS cs FROM bare),
+cores AS (SELECT k, 2 * i + j AS i, cs[j] AS c, starts AND j = 1 AS starts FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS j FROM parted)),
+kinds AS (SELECT *, regexp_full_match(c, '[+\-]?[$€£]?[0-9][0-9.,:/]*%?') OR regexp_full_match(lower(c), '({_NUMBERS})(-(one|{_NUMBERS}))*') AS num FROM cores),
 named AS (
   SELECT k, i, lower(c) AS v, CASE WHEN num THEN '<num>'
     WHEN lower(c) IN ({_UNITS}) AND NOT starts AND lag(num) OVER (PARTITION BY k ORDER BY i) THEN '<unit>'

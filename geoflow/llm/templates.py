@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import documents, held, spill
+from geoflow.llm.common import documents, fresh, held, spill
 
 #: Tokens of a template window; matching windows from which a document counts as contaminated, or all of a shorter item.
 WINDOW, MATCHES = 8, 6
@@ -18,23 +18,33 @@ UNITS = (
     "ml l litre litres liter liters gallon gallons cup cups s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "degree degrees celsius fahrenheit percent dollar dollars cent cents euro euros usd eur mph kmh kph w kw kwh watt watts volt volts v hz khz mhz ghz b kb mb gb tb"
 ).split()
+# Number words, as fixed values.
+NUMBERS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice"
+).split()
 SLOTS = ("<num>", "<unit>", "<name>")
 #: Begins a word that begins a sentence, in cleaned texts.
 MARK = "\x02"
 SPACE, SENTENCE = "[\\x09-\\x0d \\x02]++", r"([.!?:][\"')\]]*+) "
 HEAD, TAIL = r"[^\p{L}\p{N}$€£+\- \x02]++", r"[^\p{L}\p{N}% ]++(?= )"
 EDGES = rf"(?<=[ \x02]){HEAD}(?:{TAIL})?|(?<=[\p{{L}}\p{{N}}% ]){TAIL}"
-NUMBER = r"(?<=[ \x02])[+\-]?[$€£]?[0-9][0-9.,:/]*+%?+(?= )"
+_WORDS = "|".join(NUMBERS)
+#: A number and the unit written to it, which become two words.
+ATTACHED = rf"(?<=[ \x02])([+\-]?[$€£]?[0-9][0-9.,:/]*+)((?i:{'|'.join(UNITS)}))(?= )"
+NUMBER = rf"(?<=[ \x02])(?:[+\-]?[$€£]?[0-9][0-9.,:/]*+%?+|(?i:(?:{_WORDS})(?:-(?:one|{_WORDS}))*+))(?= )"
 UNIT = rf"(?<=<num> )(?i:{'|'.join(UNITS)})(?= )"
 NAME = r"(?<= )\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+(?= )"
 
 
 def cleaned(text: Column) -> Column:
     """Words with one space before and after each, less the punctuation at their edges; MARK before those that begin a
-    sentence. The whole text is rewritten at once: one pass of a pattern costs far less than a call a word.
+    sentence; a number and a unit written together as two. The whole text is rewritten at once: one pass of a pattern
+    costs far less than a call a word.
     """
     spaced = F.ltrim(F.regexp_replace(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), SPACE, " "))
-    return F.regexp_replace(F.concat(F.lit(f" {MARK}"), F.regexp_replace(spaced, SENTENCE, f"$1 {MARK}")), EDGES, "")
+    bare = F.regexp_replace(F.concat(F.lit(f" {MARK}"), F.regexp_replace(spaced, SENTENCE, f"$1 {MARK}")), EDGES, "")
+    return F.regexp_replace(bare, ATTACHED, "$1 $2")
 
 
 def _words(clean: Column) -> Column:
@@ -44,7 +54,8 @@ def _words(clean: Column) -> Column:
 def template(clean: Column) -> Column:
     """Template tokens: <num>, <unit>, <name>, else the word in lower case.
 
-    A unit follows a number; a name is a capitalised word. Neither begins a sentence.
+    A number is written in digits or words (but for "one", which mostly is none); a unit follows it; a name is a
+    capitalised word. Neither of the last two begins a sentence.
     """
     return _words(F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, NUMBER, "<num>"), UNIT, "<unit>"), NAME, "<name>"))
 
@@ -161,8 +172,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` without those that hold a benchmark item."""
-    gone = spill(contaminated(docs, benchmark, id, text, **options).select(F.col(id).alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
+    own = fresh(docs, "_gone")
+    gone = spill(contaminated(docs, benchmark, id, text, **options).select(F.col(id).alias(own)).distinct(), "leaks")
+    return docs.join(gone, F.col(id) == F.col(own), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

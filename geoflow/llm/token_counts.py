@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import documents, in_arrow
+from geoflow.llm.common import documents, fresh, in_arrow
 
 #: Bytes of text that one call of the tokenizer gets.
 BATCH_BYTES = 1 << 20
@@ -89,8 +89,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512)
     `df` named like a result are replaced.
     """
     keep = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    df = df.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = df.drop("_text").schema.add("n_bytes", "long", True).add("n_tokens", "long", True)
+    own = fresh(df, "_text")
+    df = df.select(*keep, F.col(text).cast("string").alias(own))
+    schema = df.drop(own).schema.add("n_bytes", "long", True).add("n_tokens", "long", True)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -98,7 +99,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512)
 
         counter = _Counter(path)
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(own)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             n = counter.lengths(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), size, pa.array(n, pa.int64())], [*keep, "n_bytes", "n_tokens"])

@@ -28,7 +28,7 @@ def random_texts(seed, n=60):
     """Texts of few words, numbers, units and names, with pieces of each other."""
     rng = random.Random(seed)
     words = ["the", "a", "train", "goes", "from", "to", "town", "in", "and", "then", "of", "it", "has", "apples"]
-    some = lambda: rng.choice([rng.choice(words), rng.choice(words), str(rng.randrange(30)), rng.choice(["km", "mph", "Hours"]), rng.choice(["Anna", "Berg-Dahl", "(Carl),", "end.", "--", "$5.20"])])
+    some = lambda: rng.choice([rng.choice(words), rng.choice(words), rng.choice([str(rng.randrange(30)), f"{rng.randrange(30)}km", "15Min", "five", "Twenty-one", "two-door"]), rng.choice(["km", "mph", "Hours"]), rng.choice(["Anna", "Berg-Dahl", "(Carl),", "end.", "--", "$5.20"])])
     texts = [" ".join(some() for _ in range(rng.randrange(5, 60))) for _ in range(n)]
     for _ in range(n):
         a, b = rng.sample(range(n), 2)
