@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import documents, in_arrow, spill
+from geoflow.llm.common import documents, in_arrow, partitions, spill
 
 #: Stands for a space in the pieces of the second tokenizer.
 SPACE = "▁"
@@ -18,8 +18,10 @@ SPACE = "▁"
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes of segments that one call of the tokenizers gets.
 AT_ONCE = 1 << 20
-WORD = "s string, n long, n_a long, n_b long, n_groups long, groups string, pairs array<long>"
-
+#: Blocks of texts whose segments meet in one bucket.
+TOGETHER = 16
+#: Codes of an alignment besides token ids: between tokens, between A's and B's of a group, between groups.
+SEPARATORS = ",|;"
 
 class Tokenizers:
     """Two tokenizers, the bytes of their tokens, and where texts may be cut.
@@ -62,9 +64,15 @@ class Tokenizers:
         self.start_a, self.start_b = (np.cumsum(x) - x for x in (self.size_a, self.size_b))
         self.pool_a, self.pool_b = (np.frombuffer(b"".join(of), "uint8") for of in (of_a, of_b))
         self.lead = self.b.piece_to_id(SPACE)
+        self.as_they_are = not _charsmap(self.b.serialized_model_proto())
         self.cuts = "".join(c for c in WHITE if not any(self._joins(p, c) for p in pieces))
         inner = f"(?:[^\\S{re.escape(self.cuts)}]\\s*\\S*)*"
         self.segment = re.compile(f"\\s*\\S+{inner}|\\s+") if self.cuts else re.compile(".+", re.S)
+        # where every white space is a lone space or line end, plain splitting does
+        self.odd = re.compile(r"[^\S \n]|\s\s|^\s") if " " in self.cuts and "\n" in self.cuts else re.compile("")
+        most = max(len(of_a), len(of_b))
+        self.names = [*map(str, range(most)), *SEPARATORS]
+        self.kind = "<u2" if len(self.names) < 1 << 16 else "<u4"
 
     @staticmethod
     def _joins(piece: str, c: str) -> bool:
@@ -74,19 +82,23 @@ class Tokenizers:
 
     def fits(self, text: str) -> bool:
         """Whether B's pieces give the text again; A's always do."""
-        return SPACE not in text and self.b.normalize(text) == SPACE + text.replace(" ", SPACE)
+        return SPACE not in text and (self.as_they_are or self.b.normalize(text) == SPACE + text.replace(" ", SPACE))
 
     def segments(self, text: str) -> list[str]:
         """Segments of a text with a space in front."""
-        return self.segment.findall(" " + text)
+        if self.odd.search(text):
+            return self.segment.findall(" " + text)
+        if "\n" not in text:
+            return [f" {x}" for x in text.split(" ")]
+        return [x if x[:1] == "\n" else f" {x}" for x in text.replace("\n", " \n").split(" ")]
 
     def _ids_b(self, segments: list[str]) -> list[list[int]]:
         """B's ids of segments as they are, without the space that it puts in front."""
         out = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [ids if s[0] == " " and len(s) > 1 else [self.lead] if s == " " else ids[1:] for s, ids in zip(segments, out, strict=True)]
 
-    def align(self, segments: list[str]) -> tuple:
-        """(n_a, n_b, n_groups, groups, pairs, pairs of each) of distinct segments; a pair is A's id << 32 | B's id."""
+    def align(self, segments: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(codes, pairs, upto) of distinct segments: each one's groups as codes, all links as A's id << 32 | B's id, and where each segment's end."""
         ids_a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         ids_b = self._ids_b(segments)
         n_a, n_b = (np.array([len(x) for x in ids], "int64") for ids in (ids_a, ids_b))
@@ -97,22 +109,60 @@ class Tokenizers:
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - (ends - size[ids]), size[ids])
             if not np.array_equal(pool[at], whole):
                 raise ValueError("tokens do not give a segment again")
-        # cuts where tokens of both end
+        # cuts where tokens of both end; a group's tokens of A come before its tokens of B
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        group, i, j = [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-            group.append(f"{','.join(text_a[i:x])}|{','.join(text_b[j:y])}")
-            i, j = x, y
+        group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
+        order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), group))
+        comma, bar, semi = range(len(self.names) - 3, len(self.names))
+        after = np.full(len(order), comma)
+        after[last_a], after[len(a) + last_b] = bar, semi
+        codes = np.column_stack([np.concatenate([a, b])[order], after[order]]).ravel().astype(self.kind)
+        stop = 2 * np.cumsum(n_a + n_b)
         upto = np.searchsorted(common, np.cumsum([len(s.encode()) for s in segments]), "right")
-        n = np.diff(upto, prepend=0)
-        groups = [";".join(group[y - k : y]) for y, k in zip(upto.tolist(), n.tolist(), strict=True)]
-        return n_a, n_b, n, groups, a[last_a] << 32 | b[last_b], upto
-
-
-def _numbered(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(k, t, b): texts by blocks, a block being a batch; NULL where a text has no tokens."""
+        return [codes[y - k : y].tobytes() for y, k in zip(stop.tolist(), (2 * (n_a + n_b)).tolist(), strict=True)], a[last_a] << 32 | b[last_b], upto
+
+    def read(self, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(numbers, pairs, upto, groups) of segments: n_a, n_b and n_groups as rows, links, where each segment's end, and the groups as text."""
+        bar, semi = len(self.names) - 2, len(self.names) - 1
+        tokens, after = np.frombuffer(b"".join(codes), self.kind).astype("int64").reshape(-1, 2).T
+        stop = np.cumsum(np.array([len(c) // (2 * np.dtype(self.kind).itemsize) for c in codes], "int64"))
+        ends_a, ends_b = np.flatnonzero(after == bar), np.flatnonzero(after == semi)
+        of_b = np.cumsum(after == bar) - (after == bar) > np.cumsum(after == semi) - (after == semi)
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[stop], prepend=0)
+        upto = np.searchsorted(ends_b, stop)
+        said = list(map(self.names.__getitem__, np.column_stack([tokens, after]).ravel().tolist()))
+        groups = ["".join(said[2 * (y - k) : 2 * y - 1]) for y, k in zip(stop.tolist(), np.diff(stop, prepend=0).tolist(), strict=True)]
+        return np.stack([total(~of_b), total(of_b), np.diff(upto, prepend=0)]), tokens[ends_a] << 32 | tokens[ends_b], upto, groups
+
+
+def _charsmap(model: bytes) -> bool:
+    """Whether a sentencepiece model has rules that change characters: field 2 of its normalizer, which is field 3 of the model."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, bytes]]:
+        def number(at: int) -> tuple[int, int]:
+            value = shift = 0
+            while True:
+                byte = data[at]
+                value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+                if byte < 128:
+                    return value, at
+
+        at = 0
+        while at < len(data):
+            key, at = number(at)
+            if key & 7 == 2:
+                size, at = number(at)
+                yield key >> 3, data[at : at + size]
+                at += size
+            else:
+                at = number(at)[1] if key & 7 == 0 else at + (8 if key & 7 == 1 else 4)
+
+    return any(inner for n, normalizer in fields(model) if n == 3 for k, inner in fields(normalizer) if k == 2)
+
+
+def _packed(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(b, k, size, t): one row a block of texts, a block being a batch: their lengths, -1 where a text has no tokens, and the texts as compressed UTF-8."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -120,14 +170,32 @@ def _numbered(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         both, part = Tokenizers(path_a, path_b), TaskContext.get().partitionId()
         for i, batch in enumerate(batches):
-            texts = [x if x and both.fits(x) else None for x in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(texts, pa.string()), pa.array([part << 32 | i] * len(texts), pa.int64())], ["k", "t", "b"])
+            texts = [x.encode() if x and both.fits(x) else None for x in batch.column("t").to_pylist()]
+            size = [-1 if x is None else len(x) for x in texts]
+            data = pa.compress(b"".join(x for x in texts if x is not None), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | i], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), batch.column("k")), pa.array([size], pa.list_(pa.int32())), pa.array([data], pa.binary())], ["b", "k", "size", "t"])
+
+    return in_arrow(df, run, T.StructType([T.StructField("b", T.LongType()), T.StructField("k", T.ArrayType(df.schema["k"].dataType)), T.StructField("size", T.ArrayType(T.IntegerType())), T.StructField("t", T.BinaryType())]))
+
+
+def _texts(size: list[int], data: bytes) -> Iterator[str | None]:
+    """The texts of a block."""
+    import pyarrow as pa
+
+    whole, at = pa.decompress(data, sum(x for x in size if x > 0), codec="zstd", asbytes=True), 0
+    for x in size:
+        yield None if x < 0 else whole[at : at + x].decode()
+        at += max(0, x)
 
-    return in_arrow(df, run, T.StructType([*df.schema.fields, T.StructField("b", T.LongType())]))
 
+def _bucket(segment: str, buckets: int) -> int:
+    from zlib import crc32
 
-def _words(blocks: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(b, s, n): distinct segments of each block, or of a part of it, and how often they occur."""
+    return crc32(segment.encode()) % buckets
+
+
+def _words(blocks: DataFrame, path_a: str, path_b: str, buckets: int) -> DataFrame:
+    """(bucket, b, s, n): the distinct segments of each block by buckets, in the order of their first place, and how often they occur."""
 
     def run(batches: Iterator) -> Iterator:
         from collections import Counter
@@ -136,35 +204,53 @@ def _words(blocks: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         both = Tokenizers(path_a, path_b)
         for batch in batches:
-            counts: dict[int, Counter] = {}
-            for b, text in zip(batch.column("b").to_pylist(), batch.column("t"), strict=True):
-                counts.setdefault(b, Counter()).update(both.segments(text.as_py()))
-            for b, count in counts.items():
-                words = list(count)
-                step = max(1, (4 << 20) // max(1, max(map(len, words)))) if words else 1
-                for i in range(0, len(words), step):
-                    some = words[i : i + step]
-                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(some), pa.int64()), pa.array(some, pa.string()), pa.array([count[w] for w in some], pa.int64())], ["b", "s", "n"])
+            for b, size, data in zip(batch.column("b").to_pylist(), batch.column("size").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                count: Counter = Counter()
+                for text in _texts(size, data):
+                    if text is not None:
+                        count.update(both.segments(text))
+                by: dict[int, list[str]] = {}
+                for s in count:
+                    by.setdefault(_bucket(s, buckets), []).append(s)
+                if by:
+                    yield pa.RecordBatch.from_arrays([pa.array(by, pa.int32()), pa.array([b] * len(by), pa.int64()), pa.array(by.values(), pa.list_(pa.string())), pa.array([[count[s] for s in ss] for ss in by.values()], pa.list_(pa.int64()))], ["bucket", "b", "s", "n"])
 
-    return in_arrow(blocks.where("t IS NOT NULL").select("b", "t"), run, "b long, s string, n long")
+    return in_arrow(blocks.select("b", "size", "t"), run, "bucket int, b long, s array<string>, n array<long>")
 
 
 def _aligned(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Distinct segments (s, n) with their alignments."""
+    """(b, bucket, codes, pair, count): the alignments of each block's segments in a bucket; and a row a bucket with its id pairs and their counts."""
 
-    def run(batches: Iterator) -> Iterator:
+    def run(table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        from geoflow.llm.bpe import _rows_at_once
-
-        both = Tokenizers(path_a, path_b)
-        for whole in batches:
-            for batch in _rows_at_once(whole, "s", AT_ONCE):
-                n_a, n_b, n, groups, pairs, upto = both.align(batch.column("s").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(pairs, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("n"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n)), pa.array(groups, pa.string()), lists], ["s", "n", "n_a", "n_b", "n_groups", "groups", "pairs"])
-
-    return in_arrow(words, run, WORD)
+        both = _cached(path_a, path_b)
+        table = table.combine_chunks()
+        coded = pc.list_flatten(table.column("s")).combine_chunks().dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        times = np.bincount(which, weights=pc.list_flatten(table.column("n")).to_numpy(), minlength=len(distinct)).astype("int64")
+        codes, pairs, counts, at = [], [np.zeros(0, "int64")], [np.zeros(0, "int64")], 0
+        while at < len(distinct):
+            to, size = at, 0
+            while to < len(distinct) and size < AT_ONCE:
+                size += len(distinct[to])
+                to += 1
+            some, linked, upto = both.align(distinct[at:to])
+            codes += some
+            pairs.append(linked)
+            counts.append(np.repeat(times[at:to], np.diff(upto, prepend=0)))
+            at = to
+        pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
+        count = np.bincount(of, weights=np.concatenate(counts), minlength=len(pair)).astype("int64")
+        bucket = table.column("bucket")[0].as_py()
+        each = pa.array(codes, pa.binary()).take(pa.array(which))
+        starts = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(table.column("s")).to_numpy())]), pa.int32())
+        none, longs = pa.nulls(table.num_rows, pa.list_(pa.int64())), pa.list_(pa.int64())
+        rows = [pa.chunked_array([table.column("b").combine_chunks(), pa.nulls(1, pa.int64())]), pa.chunked_array([pa.array([bucket] * (table.num_rows + 1), pa.int32())]), pa.chunked_array([pa.ListArray.from_arrays(starts, each), pa.nulls(1, pa.list_(pa.binary()))])]
+        return pa.Table.from_arrays([*rows, *(pa.chunked_array([none, pa.array([x], longs)]) for x in (pair, count))], ["b", "bucket", "codes", "pair", "count"])
+
+    return words.groupBy("bucket").applyInArrow(run, "b long, bucket int, codes array<binary>, pair array<long>, count array<long>")
 
 
 def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", digest: bool = False) -> DataFrame:
@@ -177,28 +263,27 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", digest: b
     and an empty string. Texts go whole, of any length; a text without white space is one segment. Repeated rows stay and
     count each; an empty table gives no row; columns named like a result are replaced.
 
-    Texts are written by blocks of a batch. A block's distinct segments meet their alignments by a join, so that a
-    frequent segment comes once a block; then the block's texts are composed in one task.
+    Texts are written by blocks of a batch. Each block's distinct segments go to buckets by their hash, so that a frequent
+    one comes once a block; a bucket aligns each distinct segment once and sends every block its part back. Of two tokens
+    that end together one is the end of the other, so there are no more id pairs than bytes in both vocabularies: their
+    counts fit the tasks that compose the blocks.
     """
     last = "groups_sha256" if digest else "groups"
     made = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", last]
     keep = [c for c in df.columns if c != text and c not in made]
     packed = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(1).alias("one"))
-    blocks = spill(_numbered(df.select(packed.alias("k"), F.col(text).cast("string").alias("t")), path_a, path_b), "blocks")
-    words = spill(_words(blocks, path_a, path_b), "words")
-    aligned = spill(_aligned(words.groupBy("s").agg(F.sum("n").alias("n")), path_a, path_b), "aligned")
-    links = spill(aligned.select(F.explode("pairs").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("c")), "links")
-    best = links.groupBy((F.col("p") % (1 << 32)).alias("to")).agg(F.max("c").alias("most"))
-    judged = links.join(best, F.col("p") % (1 << 32) == F.col("to")).select("p", "c", (F.col("c") == F.col("most")).cast("long").alias("best"))
-    sums = aligned.select("s", F.explode("pairs").alias("p")).join(judged, "p").groupBy("s").agg(F.sum("c").alias("c"), F.sum("best").alias("best"))
-    full = aligned.drop("n", "pairs").join(sums, "s")
-    book = words.select("b", "s").join(full, "s")
-
-    schema = blocks.drop("t", "b").schema
-    for name in made[:-1]:
-        schema = schema.add(name, "long")
-    schema = schema.add(last, "string")
-    columns = ["n_a", "n_b", "n_groups", "n_groups", "best", "c"]
+    blocks = spill(_packed(df.select(packed.alias("k"), F.col(text).cast("string").alias("t")), path_a, path_b), "blocks")
+    buckets = max(partitions(df.sparkSession), blocks.count() // TOGETHER)
+    found = spill(_aligned(_words(blocks, path_a, path_b, buckets), path_a, path_b), "aligned")
+    links = found.where("b IS NULL").select(F.explode(F.arrays_zip("pair", "count")).alias("x")).groupBy("x.pair").agg(F.sum("x.count").alias("count"))
+    links = links.toPandas().sort_values("pair")  # bounded by the vocabularies, see above
+    pair, count = links["pair"].to_numpy("int64"), links["count"].to_numpy("int64")
+    to = pair & 0xFFFFFFFF
+    most = np.zeros(int(to.max(initial=0)) + 1, "int64")
+    np.maximum.at(most, to, count)
+    best = count == most[to]
+
+    schema = T.StructType([T.StructField("k", blocks.schema["k"].dataType.elementType), *(T.StructField(n, T.LongType()) for n in made[:-1]), T.StructField(last, T.StringType())])
 
     def compose(left, right):
         from hashlib import sha256
@@ -206,19 +291,29 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", digest: b
         import pyarrow as pa
 
         both = _cached(path_a, path_b)
-        at = {s: i for i, s in enumerate(right.column("s").to_pylist())}
-        numbers = np.stack([right.column(c).to_numpy() for c in columns]) if right.num_rows else np.zeros((len(columns), 0), "int64")
-        groups = right.column("groups").to_pylist()
-        sums, said = np.zeros((len(columns), left.num_rows), "int64"), [""] * left.num_rows
-        for row, value in enumerate(left.column("t")):
-            if (t := value.as_py()) is not None:
-                which = list(map(at.__getitem__, both.segments(t)))
-                sums[:, row] = numbers[:, which].sum(1)
-                joined = ";".join(map(groups.__getitem__, which))
-                said[row] = sha256(joined.encode()).hexdigest() if digest else joined
-        return pa.Table.from_arrays([left.column("k"), *(pa.array(x, pa.int64()) for x in sums), pa.array(said, pa.string())], ["k", *made])
-
-    out = blocks.groupBy("b").cogroup(book.groupBy("b")).applyInArrow(compose, schema)
+        tables = []
+        for row in range(left.num_rows):  # one a block
+            texts = [None if x is None else both.segments(x) for x in _texts(left.column("size")[row].as_py(), left.column("t")[row].as_py())]
+            by: dict[int, list[str]] = {}
+            for s in dict.fromkeys(s for x in texts if x is not None for s in x):
+                by.setdefault(_bucket(s, buckets), []).append(s)
+            codes = {b: c.as_py() for b, c in zip(right.column("bucket").to_pylist(), right.column("codes"), strict=True)}
+            at = {s: i for i, s in enumerate(s for b in codes for s in by[b])}
+            numbers, linked, upto, groups = both.read([c for b in codes for c in codes[b]])
+            where = np.searchsorted(pair, linked)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[where])])[upto], prepend=0) for x in (best.astype("int64"), count)] if len(linked) else [upto, upto]
+            numbers = np.stack([*numbers, numbers[2], *sums])
+            out, said = np.zeros((len(numbers), len(texts)), "int64"), [""] * len(texts)
+            for i, x in enumerate(texts):
+                if x is not None:
+                    which = list(map(at.__getitem__, x))
+                    out[:, i] = numbers[:, which].sum(1)
+                    joined = ";".join(map(groups.__getitem__, which))
+                    said[i] = sha256(joined.encode()).hexdigest() if digest else joined
+            tables.append(pa.Table.from_arrays([left.column("k")[row].values, *(pa.array(x, pa.int64()) for x in out), pa.array(said, pa.string())], ["k", *made]))
+        return pa.concat_tables(tables) if tables else pa.table({n: [] for n in ["k", *made]})
+
+    out = blocks.groupBy("b").cogroup(found.where("b IS NOT NULL").select("b", "bucket", "codes").groupBy("b")).applyInArrow(compose, schema)
     return out.select(*(["k.*"] if keep else []), *made)
 
 
