@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoflow.functions import coords, flags, geom, speed
 from geoflow.operators import conflate, features, graph, metrics, pixels, sampling, spatial, tiles
-from geoflow.plans.domain import lines, sql, table
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(statement: str | None = None, *names: str):
-    """Register a query by its name, with its SQL over the named domain tables."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if statement:
-            _SQL[f.__name__] = (sql(*names) if names else "") + statement
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from geoflow.plans.catalog import oracle_sql, queries, query  # noqa: F401
+from geoflow.plans.domain import lines, table
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile_hysteresis(spark, sf_dir)
@@ -790,3 +765,7 @@ def intersects_self(spark, d):
     p = F.col("pos")
     ends = F.array(geom.point(F.col("x"), F.col("y")), geom.point(F.col("x") + p % 41 - 20, F.col("y") + p % 37 - 18))
     return spatial.without_isolated(table(spark, d, "vertex").select("tile_id", p.alias("line_id"), ends.alias("points"))).select("tile_id", "line_id")
+
+
+# The queries of road graphs and rasters add themselves.
+from geoflow.plans import roads  # noqa: E402, F401
