@@ -768,4 +768,4 @@ def intersects_self(spark, d):
 
 
 # The queries of road graphs and rasters add themselves.
-from geoflow.plans import roads  # noqa: E402, F401
+from geoflow.plans import rasters, roads  # noqa: E402, F401
