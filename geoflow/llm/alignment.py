@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import documents, in_arrow, partitions, spill
+from geoflow.llm.common import documents, give_back, in_arrow, partitions, spill
 
 #: Stands for a space in the pieces of the second tokenizer.
 SPACE = "▁"
@@ -20,8 +20,8 @@ WHITE = " \t\n\x0b\x0c\r"
 AT_ONCE = 1 << 20
 #: Blocks of texts whose segments meet in one bucket.
 TOGETHER = 16
-#: Codes of an alignment besides token ids: between tokens, between A's and B's of a group, between groups.
-SEPARATORS = ",|;"
+#: Codes of an alignment besides token ids: after a token within a group, before B's tokens, after a group, after a segment.
+SEPARATORS = [",", "|", ";", ""]
 
 class Tokenizers:
     """Two tokenizers, the bytes of their tokens, and where texts may be cut.
@@ -68,8 +68,7 @@ class Tokenizers:
         self.cuts = "".join(c for c in WHITE if not any(self._joins(p, c) for p in pieces))
         inner = f"(?:[^\\S{re.escape(self.cuts)}]\\s*\\S*)*"
         self.segment = re.compile(f"\\s*\\S+{inner}|\\s+") if self.cuts else re.compile(".+", re.S)
-        # where every white space is a lone space or line end, plain splitting does
-        self.odd = re.compile(r"[^\S \n]|\s\s|^\s") if " " in self.cuts and "\n" in self.cuts else re.compile("")
+        self.plain = " " in self.cuts and "\n" in self.cuts
         most = max(len(of_a), len(of_b))
         self.names = [*map(str, range(most)), *SEPARATORS]
         self.kind = "<u2" if len(self.names) < 1 << 16 else "<u4"
@@ -86,19 +85,20 @@ class Tokenizers:
 
     def segments(self, text: str) -> list[str]:
         """Segments of a text with a space in front."""
-        if self.odd.search(text):
-            return self.segment.findall(" " + text)
-        if "\n" not in text:
-            return [f" {x}" for x in text.split(" ")]
-        return [x if x[:1] == "\n" else f" {x}" for x in text.replace("\n", " \n").split(" ")]
+        words = text.split() if self.plain else []
+        if words and " ".join(words) == text:  # lone spaces, nothing else
+            return [f" {x}" for x in words]
+        if words and " ".join(words) == text.replace("\n", " "):
+            return [x if x[0] == "\n" else f" {x}" for x in text.replace("\n", " \n").split(" ")]
+        return self.segment.findall(" " + text)
 
     def _ids_b(self, segments: list[str]) -> list[list[int]]:
         """B's ids of segments as they are, without the space that it puts in front."""
         out = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [ids if s[0] == " " and len(s) > 1 else [self.lead] if s == " " else ids[1:] for s, ids in zip(segments, out, strict=True)]
 
-    def align(self, segments: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(codes, pairs, upto) of distinct segments: each one's groups as codes, all links as A's id << 32 | B's id, and where each segment's end."""
+    def align(self, segments: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(codes, pairs, upto) of distinct segments: each one's groups as codes, a token and what comes after it, all links as A's id << 32 | B's id, and where each segment's end."""
         ids_a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         ids_b = self._ids_b(segments)
         n_a, n_b = (np.array([len(x) for x in ids], "int64") for ids in (ids_a, ids_b))
@@ -114,26 +114,28 @@ class Tokenizers:
         last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
         group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
         order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), group))
-        comma, bar, semi = range(len(self.names) - 3, len(self.names))
+        comma, bar, semi, end = range(len(self.names) - 4, len(self.names))
         after = np.full(len(order), comma)
         after[last_a], after[len(a) + last_b] = bar, semi
-        codes = np.column_stack([np.concatenate([a, b])[order], after[order]]).ravel().astype(self.kind)
-        stop = 2 * np.cumsum(n_a + n_b)
+        after = after[order]
+        stop = np.cumsum(n_a + n_b)
+        after[stop - 1] = end
+        codes = np.column_stack([np.concatenate([a, b])[order], after]).ravel().astype(self.kind)
         upto = np.searchsorted(common, np.cumsum([len(s.encode()) for s in segments]), "right")
-        return [codes[y - k : y].tobytes() for y, k in zip(stop.tolist(), (2 * (n_a + n_b)).tolist(), strict=True)], a[last_a] << 32 | b[last_b], upto
-
-    def read(self, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(numbers, pairs, upto, groups) of segments: n_a, n_b and n_groups as rows, links, where each segment's end, and the groups as text."""
-        bar, semi = len(self.names) - 2, len(self.names) - 1
-        tokens, after = np.frombuffer(b"".join(codes), self.kind).astype("int64").reshape(-1, 2).T
-        stop = np.cumsum(np.array([len(c) // (2 * np.dtype(self.kind).itemsize) for c in codes], "int64"))
-        ends_a, ends_b = np.flatnonzero(after == bar), np.flatnonzero(after == semi)
-        of_b = np.cumsum(after == bar) - (after == bar) > np.cumsum(after == semi) - (after == semi)
+        return np.split(codes, 2 * stop[:-1]) if len(stop) else [], a[last_a] << 32 | b[last_b], upto
+
+    def read(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """(numbers, pairs, upto, groups) of segments one after the other: n_a, n_b and n_groups as rows, links, where each segment's end, and the groups as text."""
+        bar, semi, end = range(len(self.names) - 3, len(self.names))
+        tokens, after = np.frombuffer(data, self.kind).astype("int64").reshape(-1, 2).T
+        stop = np.flatnonzero(after == end) + 1
+        last_a, last_b = np.flatnonzero(after == bar), np.flatnonzero(after >= semi)
+        of_b = np.cumsum(after == bar) - (after == bar) > np.cumsum(after >= semi) - (after >= semi)
         total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[stop], prepend=0)
-        upto = np.searchsorted(ends_b, stop)
+        upto = np.searchsorted(last_b, stop)
         said = list(map(self.names.__getitem__, np.column_stack([tokens, after]).ravel().tolist()))
-        groups = ["".join(said[2 * (y - k) : 2 * y - 1]) for y, k in zip(stop.tolist(), np.diff(stop, prepend=0).tolist(), strict=True)]
-        return np.stack([total(~of_b), total(of_b), np.diff(upto, prepend=0)]), tokens[ends_a] << 32 | tokens[ends_b], upto, groups
+        groups = ["".join(said[2 * x : 2 * y]) for x, y in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
+        return np.stack([total(~of_b), total(of_b), np.diff(upto, prepend=0)]), tokens[last_a] << 32 | tokens[last_b], upto, groups
 
 
 def _charsmap(model: bytes) -> bool:
@@ -219,7 +221,8 @@ def _words(blocks: DataFrame, path_a: str, path_b: str, buckets: int) -> DataFra
 
 
 def _aligned(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(b, bucket, codes, pair, count): the alignments of each block's segments in a bucket; and a row a bucket with its id pairs and their counts."""
+    """(b, bucket, codes, pair, count): the alignments of each block's segments in a bucket, one after the other and
+    compressed; and a row a bucket with its id pairs and their counts."""
 
     def run(table):
         import pyarrow as pa
@@ -244,13 +247,16 @@ def _aligned(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pair, of = np.unique(np.concatenate(pairs), return_inverse=True)
         count = np.bincount(of, weights=np.concatenate(counts), minlength=len(pair)).astype("int64")
         bucket = table.column("bucket")[0].as_py()
-        each = pa.array(codes, pa.binary()).take(pa.array(which))
-        starts = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(table.column("s")).to_numpy())]), pa.int32())
+        codes_size = np.array([x.nbytes for x in codes], "int64")
+        stop = np.cumsum(pc.list_value_length(table.column("s")).to_numpy())
+        packed = [pa.compress(b"".join([codes[i].tobytes() for i in which[x:y].tolist()]), codec="zstd", asbytes=True) for x, y in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
+        size = [int(codes_size[which[x:y]].sum()) for x, y in zip([0, *stop.tolist()], stop.tolist(), strict=False)]
         none, longs = pa.nulls(table.num_rows, pa.list_(pa.int64())), pa.list_(pa.int64())
-        rows = [pa.chunked_array([table.column("b").combine_chunks(), pa.nulls(1, pa.int64())]), pa.chunked_array([pa.array([bucket] * (table.num_rows + 1), pa.int32())]), pa.chunked_array([pa.ListArray.from_arrays(starts, each), pa.nulls(1, pa.list_(pa.binary()))])]
-        return pa.Table.from_arrays([*rows, *(pa.chunked_array([none, pa.array([x], longs)]) for x in (pair, count))], ["b", "bucket", "codes", "pair", "count"])
+        out = pa.table({"b": pa.chunked_array([table.column("b").combine_chunks(), pa.nulls(1, pa.int64())]), "bucket": pa.array([bucket] * (table.num_rows + 1), pa.int32()), "size": pa.array([*size, None], pa.int64()), "codes": pa.array([*packed, None], pa.binary())} | {n: pa.chunked_array([none, pa.array([x], longs)]) for n, x in (("pair", pair), ("count", count))})
+        give_back()
+        return out
 
-    return words.groupBy("bucket").applyInArrow(run, "b long, bucket int, codes array<binary>, pair array<long>, count array<long>")
+    return words.groupBy("bucket").applyInArrow(run, "b long, bucket int, size long, codes binary, pair array<long>, count array<long>")
 
 
 def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", digest: bool = False) -> DataFrame:
@@ -293,27 +299,33 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", digest: b
         both = _cached(path_a, path_b)
         tables = []
         for row in range(left.num_rows):  # one a block
-            texts = [None if x is None else both.segments(x) for x in _texts(left.column("size")[row].as_py(), left.column("t")[row].as_py())]
-            by: dict[int, list[str]] = {}
-            for s in dict.fromkeys(s for x in texts if x is not None for s in x):
-                by.setdefault(_bucket(s, buckets), []).append(s)
-            codes = {b: c.as_py() for b, c in zip(right.column("bucket").to_pylist(), right.column("codes"), strict=True)}
-            at = {s: i for i, s in enumerate(s for b in codes for s in by[b])}
-            numbers, linked, upto, groups = both.read([c for b in codes for c in codes[b]])
+            # segments by their first place, and the texts as places
+            first: dict[str, int] = {}
+            texts = [None if x is None else np.array([first.setdefault(s, len(first)) for s in both.segments(x)], "int64") for x in _texts(left.column("size")[row].as_py(), left.column("t")[row].as_py())]
+            by: dict[int, list[int]] = {}
+            for s, i in first.items():
+                by.setdefault(_bucket(s, buckets), []).append(i)
+            order = [i for b in right.column("bucket").to_pylist() for i in by[b]]
+            place = np.empty(len(order), "int64")
+            place[order] = np.arange(len(order))
+            first.clear()
+            numbers, linked, upto, groups = both.read(b"".join(pa.decompress(c.as_py(), n.as_py(), codec="zstd", asbytes=True) for c, n in zip(right.column("codes"), right.column("size"), strict=True)))
             where = np.searchsorted(pair, linked)
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[where])])[upto], prepend=0) for x in (best.astype("int64"), count)] if len(linked) else [upto, upto]
             numbers = np.stack([*numbers, numbers[2], *sums])
             out, said = np.zeros((len(numbers), len(texts)), "int64"), [""] * len(texts)
             for i, x in enumerate(texts):
                 if x is not None:
-                    which = list(map(at.__getitem__, x))
+                    which = place[x]
                     out[:, i] = numbers[:, which].sum(1)
-                    joined = ";".join(map(groups.__getitem__, which))
+                    joined = ";".join(map(groups.__getitem__, which.tolist()))
                     said[i] = sha256(joined.encode()).hexdigest() if digest else joined
             tables.append(pa.Table.from_arrays([left.column("k")[row].values, *(pa.array(x, pa.int64()) for x in out), pa.array(said, pa.string())], ["k", *made]))
-        return pa.concat_tables(tables) if tables else pa.table({n: [] for n in ["k", *made]})
+        del numbers, groups, texts
+        give_back()
+        return pa.concat_tables(tables)
 
-    out = blocks.groupBy("b").cogroup(found.where("b IS NOT NULL").select("b", "bucket", "codes").groupBy("b")).applyInArrow(compose, schema)
+    out = blocks.groupBy("b").cogroup(found.where("b IS NOT NULL").select("b", "bucket", "size", "codes").groupBy("b")).applyInArrow(compose, schema)
     return out.select(*(["k.*"] if keep else []), *made)
 
 
