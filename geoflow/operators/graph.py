@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoflow.functions.geom import line_length
 from geoflow.operators.shared import written
 
 
@@ -136,6 +137,66 @@ def simplify(edges: DataFrame) -> DataFrame:
     return total.join(stops, ["tile_id", "chain"]).select("tile_id", F.col("chain").alias("edge_id"), F.coalesce("lo", "any").alias("u"), F.coalesce("hi", "any").alias("v"), "length", "n_edges")
 
 
+def chains(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(tile_id, edge_id, u, v, points, length, n_edges): `simplify` with geometry: the points of a chain of edges
+    (tile_id, edge_id, u, v, points), points from u to v, joined in order.
+
+    Every edge can be gone along in two ways. A way that ends at a node of two edges leads on to the other edge; pointers
+    to the way ahead are doubled until each has its place counted from the end (list ranking), in rounds that follow the
+    logarithm of the longest chain. Of a chain's two directions the one from the lesser node counts, or from its lesser
+    first edge; a closed chain begins at its least node. A chain has the least edge_id of its edges.
+    """
+    edges = written(edges.select("tile_id", "edge_id", "u", "v", "points"), "edges")
+    ends = edges.select("tile_id", "edge_id", F.explode(F.array("u", "v")).alias("node_id"))
+    passed = ends.groupBy("tile_id", "node_id").agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("a"), F.max("edge_id").alias("b")).where("n = 2 AND a <> b").drop("n")
+    passed = written(passed, "passed")
+    linked = node_components(passed.select("tile_id", F.col("a").alias("u"), F.col("b").alias("v")), rounds)
+    chain = written(edges.select("tile_id", "edge_id").join(linked.withColumnRenamed("node_id", "edge_id"), ["tile_id", "edge_id"], "left").select("tile_id", "edge_id", F.coalesce("component", "edge_id").alias("chain")), "chain")
+    # closed chains stop at their least node
+    inner = ends.join(chain, ["tile_id", "edge_id"]).join(passed, ["tile_id", "node_id"], "left").groupBy("tile_id", "chain").agg(F.bool_and(F.col("a").isNotNull()).alias("closed"), F.min("node_id").alias("node_id"))
+    passed = passed.join(inner.where("closed").select("tile_id", "node_id"), ["tile_id", "node_id"], "left_anti")
+    # ways: an edge and whether it is gone backwards
+    way = lambda back, u, v: F.struct(F.struct("edge_id", F.lit(back).alias("back")).alias("way"), F.col(u).alias("from"), F.col(v).alias("to"))
+    ways = edges.select("tile_id", F.explode(F.array(way(False, "u", "v"), way(True, "v", "u"))).alias("w")).select("tile_id", "w.*")
+    ahead = ways.join(passed.withColumnRenamed("node_id", "to"), ["tile_id", "to"]).select("tile_id", "way", F.col("to").alias("from"), F.when(F.col("way.edge_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    ahead = ahead.join(ways.select("tile_id", "from", F.col("way").alias("next")), ["tile_id", "from"]).where(F.col("next.edge_id") == F.col("other")).select("tile_id", "way", "next")
+    # the last way of a list points to itself
+    left = ways.select("tile_id", "way").join(ahead, ["tile_id", "way"], "left")
+    ranks = written(left.select("tile_id", "way", F.coalesce("next", "way").alias("next"), F.col("next").isNotNull().cast("long").alias("after")), "ranks")
+    for _ in range(rounds):
+        on = ranks.select("tile_id", F.col("way").alias("next"), F.col("next").alias("_next"), F.col("after").alias("_after"))
+        ranks = written(ranks.join(on, ["tile_id", "next"]).select("tile_id", "way", F.col("_next").alias("next"), (F.col("after") + F.col("_after")).alias("after"), (F.col("next") != F.col("_next")).alias("moved")), "ranks")
+        if ranks.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"chains did not end in {rounds} rounds")
+    named = chain.withColumnRenamed("edge_id", "_edge")
+    placed = ranks.join(ways, ["tile_id", "way"]).withColumn("_edge", F.col("way.edge_id")).join(named, ["tile_id", "_edge"]).select("tile_id", "chain", F.col("next").alias("list"), "way", "after", "from", "to")
+    placed = written(placed, "placed")
+    lists = placed.groupBy("tile_id", "chain", "list").agg(F.max_by(F.struct("from", "way"), "after").alias("first"))
+    best = lists.groupBy("tile_id", "chain").agg(F.min_by("list", "first").alias("list"))
+    shapes = edges.select("tile_id", F.col("edge_id").alias("_edge"), "points")
+    parts = placed.join(best, ["tile_id", "chain", "list"]).withColumn("_edge", F.col("way.edge_id")).join(shapes, ["tile_id", "_edge"])
+    turned = F.when(F.col("way.back"), F.reverse("points")).otherwise(F.col("points"))
+    # a chain's points are one value of the result
+    row = F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("nth"), turned.alias("points")))).alias("parts")
+    out = parts.groupBy("tile_id", "chain").agg(row, F.max_by("from", "after").alias("u"), F.min_by("to", "after").alias("v"), F.count(F.lit(1)).alias("n_edges"))
+    joined = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["points"]).otherwise(F.slice(p["points"], 2, 1 << 30))))
+    out = out.select("tile_id", F.col("chain").alias("edge_id"), "u", "v", joined.alias("points"), "n_edges")
+    return out.select("tile_id", "edge_id", "u", "v", "points", line_length(F.col("points")).alias("length"), "n_edges")
+
+
+def lines_wkt(edges: DataFrame, tiles: DataFrame | None = None, digits: int = 1) -> DataFrame:
+    """(tile_id, edge_id, wkt) of edges with points; tiles of `tiles` (tile_id) without an edge get an empty line and no edge_id."""
+    from geoflow.functions.geom import EMPTY_LINE, line_wkt
+
+    out = edges.select("tile_id", "edge_id", line_wkt(F.col("points"), digits).alias("wkt"))
+    if tiles is None:
+        return out
+    none = tiles.select("tile_id").distinct().join(edges.select("tile_id").distinct(), "tile_id", "left_anti")
+    return out.unionByName(none.select("tile_id", F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"), F.lit(EMPTY_LINE).alias("wkt")))
+
+
 def split_at(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Edges cut at points (tile_id, edge_id, node_id, part): (tile_id, u, v, length) of the pieces; `part` is 0 to 1 along u to v."""
     stops = edges.select("tile_id", "edge_id", F.explode(F.array(F.struct(F.col("u").alias("node_id"), F.lit(0.0).alias("part")), F.struct(F.col("v").alias("node_id"), F.lit(1.0).alias("part")))).alias("s")).select("tile_id", "edge_id", "s.*")
