@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from geoflow.functions.geom import line_length
 from geoflow.operators.shared import written
 
+#: Values of a one-way tag, the last of them against the way's order (fixed values).
+ONEWAY = ("yes", "true", "1", "-1")
+
 
 def lines_to_graph(lines: DataFrame, points: str = "points", first_id: int = 10000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of lines (tile_id, line_id, points): a node per distinct vertex, an edge per segment.
@@ -89,12 +92,14 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return induced(edges, of.join(best, ["tile_id", "component"]))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000, directed: bool = False) -> DataFrame:
     """(tile_id, source, node_id, length) from every source (tile_id, node_id) to all nodes it reaches, itself included.
 
-    Distances relax by joins with the edges; only nodes whose distance fell take part in the next round.
+    Distances relax by joins with the edges; only nodes whose distance fell take part in the next round. Edges are gone
+    along both ways, `directed` ones from u to v.
     """
-    arcs = edges.select("tile_id", "u", "v", "length").union(edges.select("tile_id", F.col("v"), F.col("u"), "length"))
+    arcs = edges.select("tile_id", "u", "v", "length")
+    arcs = arcs if directed else arcs.union(edges.select("tile_id", F.col("v"), F.col("u"), "length"))
     arcs = written(arcs.groupBy("tile_id", "u", "v").agg(F.min("length").cast("double").alias("w")), "arcs")
     known = written(sources.select("tile_id", F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("length"), F.lit(True).alias("fresh")).distinct(), "paths")
     for _ in range(rounds):
@@ -107,6 +112,46 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -
     raise RuntimeError(f"paths did not settle in {rounds} rounds")
 
 
+def arcs(ways: DataFrame, both: bool = False) -> DataFrame:
+    """The directed multigraph of ways (tile_id, way_id, nodes, oneway, junction): (tile_id, u, v, key, way_id, nth, oneway).
+
+    A way with a oneway tag, or a roundabout, gives an arc from each node to the next, the other way round for the tag
+    -1; other ways, or all if `both`, give arcs in both directions. `key` numbers the arcs from u to v, in the order of
+    ways, places and directions. Unknown tags count as none.
+    """
+    tagged = F.coalesce(F.col("oneway").isin(*ONEWAY), F.lit(False))
+    single = F.lit(False) if both else tagged | F.coalesce(F.col("junction") == "roundabout", F.lit(False))
+    way = ways.select("tile_id", "way_id", F.when(tagged & (F.col("oneway") == "-1") & single, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"), single.alias("oneway"))
+    n = F.size("nodes")
+    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(i.alias("nth"), F.get("nodes", i).alias("a"), F.get("nodes", i + 1).alias("b")))
+    steps = way.where(n > 1).select("tile_id", "way_id", "oneway", F.explode(pairs).alias("s")).select("tile_id", "way_id", "oneway", "s.*")
+    ends = F.struct(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("back"))
+    turned = F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(1).alias("back"))
+    out = steps.select("tile_id", "way_id", "nth", "oneway", F.explode(F.when(F.col("oneway"), F.array(ends)).otherwise(F.array(ends, turned))).alias("e")).select("tile_id", "way_id", "nth", "oneway", "e.*")
+    key = F.row_number().over(Window.partitionBy("tile_id", "u", "v").orderBy("way_id", "nth", "back")) - 1
+    return out.select("tile_id", "u", "v", key.alias("key"), "way_id", "nth", "oneway")
+
+
+def merged_crossings(nodes: DataFrame, arcs: DataFrame, tolerance: float = 15.0) -> tuple[DataFrame, DataFrame]:
+    """Crossings nearer than twice `tolerance`, in chains, as one: (nodes (tile_id, node_id, x, y, n), arcs rewired, less loops).
+
+    Dead ends, nodes that one other node is next to, stay by themselves. A merged node has the least id of its nodes and
+    their mean place. Arcs between two merged nodes are counted anew by `key`.
+    """
+    from geoflow.operators.spatial import radius_join
+
+    beside = arcs.select("tile_id", F.col("u").alias("node_id"), F.col("v").alias("w")).union(arcs.select("tile_id", "v", "u")).where("node_id <> w").distinct().groupBy("tile_id", "node_id").agg(F.count(F.lit(1)).alias("d"))
+    crossings = nodes.join(beside.where("d > 1"), ["tile_id", "node_id"], "left_semi").select("tile_id", F.col("node_id").alias("id"), "x", "y")
+    near = radius_join(crossings, crossings, 2 * tolerance).where("id < other")
+    of = node_components(near.select("tile_id", F.col("id").alias("u"), F.col("other").alias("v")))
+    named = written(nodes.join(of, ["tile_id", "node_id"], "left").select("tile_id", "node_id", F.coalesce("component", "node_id").alias("to"), "x", "y"), "merged")
+    places = named.groupBy("tile_id", F.col("to").alias("node_id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    end = lambda c: named.select("tile_id", F.col("node_id").alias(c), F.col("to").alias(f"_{c}"))
+    moved = arcs.join(end("u"), ["tile_id", "u"]).join(end("v"), ["tile_id", "v"]).where("_u <> _v")
+    key = F.row_number().over(Window.partitionBy("tile_id", "_u", "_v").orderBy("way_id", "nth", "u", "v")) - 1
+    return places, moved.select("tile_id", F.col("_u").alias("u"), F.col("_v").alias("v"), key.alias("key"), "way_id", "nth", "oneway")
+
+
 def without_small_components(edges: DataFrame, least: float, check_up_to: int = 20) -> DataFrame:
     """Edges less components whose longest shortest path is under `least`; those of more than `check_up_to` nodes stay.
 
