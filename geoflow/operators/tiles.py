@@ -54,15 +54,28 @@ def transform(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> D
     return _each(tiles, f"tile_id {_kind(tiles)}, rows int, cols int, data binary", work)
 
 
+def _pixels(tiles: DataFrame, name: str, work: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(tile_id, row, col, name) of the arrays that `work` gives for each tile."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = work(np.frombuffer(batch.column("data")[k].as_py(), "uint8").reshape(batch.column("rows")[k].as_py(), batch.column("cols")[k].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("tile_id")[k], len(found[0])), *(pa.array(x.astype("int32")) for x in found)], ["tile_id", "row", "col", name])
+
+    return tiles.select("tile_id", "rows", "cols", "data").mapInArrow(run, f"tile_id {_kind(tiles)}, row int, col int, {name} int")
+
+
 def pixels_of(tiles: DataFrame, zero: bool = False) -> DataFrame:
     """Pixel rows of tiles; zeros only if asked for."""
 
-    def work(tile, a):
+    def work(a):
         rows, cols = np.indices(a.shape).reshape(2, -1) if zero else np.nonzero(a)
-        for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
-            yield tile, r, c, int(a[r, c])
+        return rows, cols, a[rows, cols]
 
-    return _each(tiles, f"tile_id {_kind(tiles)}, row int, col int, value int", work)
+    return _pixels(tiles, "value", work)
 
 
 def _slid(a: np.ndarray, k: int, least: bool) -> np.ndarray:
@@ -175,42 +188,53 @@ def filled(ring: list, rows: int, cols: int) -> np.ndarray:
     return out
 
 
-def rasterize(shapes: DataFrame, side: int = SIDE, radius: float | None = None) -> DataFrame:
-    """Tiles from shapes (tile_id, seq, value, points): rings filled, or lines of `radius` pixels; a later seq overwrites.
+def _burned(points: list, side: int, radius: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of one shape's pixels."""
+    p = np.array([(q["x"], q["y"]) for q in points], "float64").reshape(-1, 2)
+    if radius is None:
+        return np.nonzero(filled(p, side, side))
+    a = np.zeros((side, side), bool)
+    for (x1, y1), (x2, y2) in zip(p, p[1:], strict=False):
+        r0, r1 = max(0, int(min(y1, y2) - radius)), min(side, int(max(y1, y2) + radius) + 2)
+        c0, c1 = max(0, int(min(x1, x2) - radius)), min(side, int(max(x1, x2) + radius) + 2)
+        y, x = np.mgrid[r0:r1, c0:c1] + 0.5
+        d = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = np.clip(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / d, 0, 1) if d else 0
+        a[r0:r1, c0:c1] |= np.hypot(x1 + t * (x2 - x1) - x, y1 + t * (y2 - y1) - y) <= radius
+    return np.nonzero(a)
+
 
-    Only a tile's own shapes meet in one task.
+def burned(shapes: DataFrame, side: int = SIDE, radius: float | None = None) -> DataFrame:
+    """Pixel rows (tile_id, row, col, value) of shapes (tile_id, seq, value, points): rings filled, or lines of `radius` pixels; a later seq overwrites.
+
+    Each shape is burned by itself; where shapes meet, the greatest seq wins by an aggregate, so that a tile of many
+    shapes is no task of its own.
     """
 
-    def run(frame):
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        a = np.zeros((side, side), "uint8")
-        for value, points in frame.sort_values("seq")[["value", "points"]].itertuples(index=False):
-            p = np.array([(q["x"], q["y"]) for q in points])
-            if radius is None:
-                a[filled(p, side, side)] = value
-                continue
-            for (x1, y1), (x2, y2) in zip(p, p[1:], strict=False):
-                r0, r1 = max(0, int(min(y1, y2) - radius)), min(side, int(max(y1, y2) + radius) + 2)
-                c0, c1 = max(0, int(min(x1, x2) - radius)), min(side, int(max(x1, x2) + radius) + 2)
-                y, x = np.mgrid[r0:r1, c0:c1] + 0.5
-                d = (x2 - x1) ** 2 + (y2 - y1) ** 2
-                t = np.clip(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / d, 0, 1) if d else 0
-                a[r0:r1, c0:c1][np.hypot(x1 + t * (x2 - x1) - x, y1 + t * (y2 - y1) - y) <= radius] = value
-        return pd.DataFrame({"tile_id": [frame["tile_id"].iloc[0]], "rows": [side], "cols": [side], "data": [a.tobytes()]})
+        for batch in batches:
+            for k, points in enumerate(batch.column("points")):
+                rows, cols = _burned(points.as_py() or [], side, radius)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[k], n) for c in ("tile_id", "seq", "value")), pa.array(rows.astype("int32")), pa.array(cols.astype("int32"))], ["tile_id", "seq", "value", "row", "col"])
 
-    return shapes.select("tile_id", "seq", "value", "points").groupBy("tile_id").applyInPandas(run, f"tile_id {_kind(shapes)}, rows int, cols int, data binary")
+    some = shapes.select("tile_id", "seq", "value", "points")
+    schema = ", ".join(f"{c} {some.schema[c].dataType.simpleString()}" for c in ("tile_id", "seq", "value"))
+    each = some.mapInArrow(run, f"{schema}, row int, col int")
+    return each.groupBy("tile_id", "row", "col").agg(F.max_by("value", "seq").alias("value"))
 
 
 def label_components(tiles: DataFrame, eight: bool = True) -> DataFrame:
     """(tile_id, row, col, label) of the non-zero pixels."""
 
-    def work(tile, a):
+    def work(a):
         labels = components(a > 0, eight)
-        for r, c in zip(*(x.tolist() for x in np.nonzero(labels)), strict=True):
-            yield tile, r, c, int(labels[r, c])
+        rows, cols = np.nonzero(labels)
+        return rows, cols, labels[rows, cols]
 
-    return _each(tiles, f"tile_id {_kind(tiles)}, row int, col int, label int", work)
+    return _pixels(tiles, "label", work)
 
 
 def outlines(labels: np.ndarray, label: int) -> list[list[tuple[int, int]]]:

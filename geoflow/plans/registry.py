@@ -616,7 +616,7 @@ def warp_resize(spark, d):
   SELECT DISTINCT tile_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, CAST(1 AS INT) AS value FROM p WHERE sqrt((x1 + t * dx - c - 0.5) ** 2 + (y1 + t * dy - r - 0.5) ** 2) <= 0.75""", "vertex")
 def rasterize(spark, d):
     shapes = _small_lines(spark, d).withColumn("seq", F.col("line_id")).withColumn("value", F.lit(1)).where(F.size("points") > 1)
-    return tiles.pixels_of(tiles.rasterize(shapes, 32, radius=0.75))
+    return tiles.burned(shapes, 32, radius=0.75)
 
 
 # Small operators
