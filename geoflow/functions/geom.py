@@ -53,6 +53,12 @@ def ring_area(points: Column) -> Column:
     return F.abs(F.aggregate(segments(points), F.lit(0.0), lambda total, s: total + s["x1"] * s["y2"] - s["x2"] * s["y1"])) / 2
 
 
+def polygon_area(rings: Column) -> Column:
+    """Area of a polygon of closed rings: the first less the others, its holes; 0 without rings."""
+    holes = F.aggregate(F.slice(rings, 2, 1 << 30), F.lit(0.0), lambda total, ring: total + ring_area(ring))
+    return F.when(F.size(rings) > 0, ring_area(F.get(rings, F.lit(0))) - holes).otherwise(0.0)
+
+
 def midpoints(points: Column) -> Column:
     """(x, y, length) of each segment; middles are rounded half to even."""
     return F.transform(segments(points), lambda s: F.struct(F.bround((s["x1"] + s["x2"]) / 2).alias("x"), F.bround((s["y1"] + s["y2"]) / 2).alias("y"), _length(s).alias("length")))

@@ -23,10 +23,13 @@ def speed_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(kind, lanes, float(few if lanes <= 2 else many)) for kind, (few, many) in SPEED_MPH.items() for lanes in range(1, 13)], "road_type int, lanes int, base_mph double")
 
 
-def road_type(highway: Column) -> Column:
-    """1 to 7; NULL for unknown tags and those that are no roads."""
+def road_type(highway: Column, strict: bool = False) -> Column:
+    """1 to 7; NULL for tags that are no roads, and for unknown ones, which stop the job if `strict`."""
     kinds = F.create_map(*(F.lit(x) for pair in HIGHWAY_TYPE.items() for x in pair))
-    return F.when(highway.isin(*NO_ROAD), None).otherwise(F.element_at(kinds, F.lower(highway)))
+    known = F.element_at(kinds, F.lower(highway))
+    if strict:
+        known = F.when(highway.isNull() | known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown highway tag: "), highway)).cast("int"))
+    return F.when(highway.isin(*NO_ROAD), None).otherwise(known)
 
 
 def add_road_speed(roads: DataFrame, kind: str = "road_type", lanes: str = "lanes", paved: str = "paved") -> DataFrame:
