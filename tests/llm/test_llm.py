@@ -427,4 +427,4 @@ def test_pipeline(spark, sf, documents):
 
 
 def test_all_queries_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
