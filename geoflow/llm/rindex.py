@@ -2,9 +2,9 @@
 
 A 200-byte string that occurs twice has the same smallest 16-gram hash at both places. Texts are therefore cut into
 fragments, the maximal runs of window starts with one smallest hash, and only fragments of equal hash are brought
-together. Each task indexes its fragments block by block: suffix order, run-compressed Burrows-Wheeler transform, the
-text positions of run heads and run ends, and from these alone, streamed in text order, how far every position
-matches another one.
+together. Those that share no more than a phrase around that gram go first. Each task indexes the others block by block:
+suffix order, run-compressed Burrows-Wheeler transform, the text positions of run heads and run ends, and from these
+alone, streamed in text order, how far every position matches another one.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from geoflow.llm.common import documents, in_arrow, spill
 WINDOW, GRAM = 200, 16
 #: Bytes of distinct fragments that a block of the index holds; a hash with more is dealt out by whole windows.
 BLOCK = 1 << 20
-#: Bytes of text that are keyed at once.
-SLICE = 1 << 21
+#: Bytes of small keys that are indexed together, and bytes of text that are keyed at once: their arrays stay in cache.
+PACK, SLICE = 1 << 16, 1 << 17
+#: Parts that the places of a window around its smallest gram are seen in.
+PARTS = 4
 #: Symbols of the first sort, and positions from which a key and a place no longer fit one number.
 SYMBOLS, PACKED = 4, 1 << 21
 
@@ -31,10 +33,18 @@ _BASE = int(0x9E3779B97F4A7C15)
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, "uint64")
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first `n` powers of `base`; those of short texts are kept in the process."""
+    if n <= 2 * BLOCK and base in _kept:
+        return _kept[base][:n]
+    out = np.full(max(n, 2 * BLOCK), base, "uint64")
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    _kept.setdefault(base, out[: 2 * BLOCK].copy())
+    return out[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,55 +64,89 @@ def substring_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype("uint64") * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` values in a row, by block-wise running minima."""
-    n = len(h) - width + 1
-    full = np.full(-(-len(h) // width) * width, np.iinfo("uint64").max)
-    full[: len(h)] = h
-    blocks = full.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+def _over(h: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least (or greatest, by `pick`) of each `width` values in a row, by doubling."""
+    k = 1
+    while 2 * k <= width:
+        h, k = pick(h[:-k], h[k:]), 2 * k
+    return pick(h[: len(h) - (width - k)], h[width - k :])
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the `gram` bytes at each position that has as many."""
+    padded, n = np.zeros(-(-len(data) // 8) * 8 + 8 + gram, "uint8"), len(data)
+    padded[:n] = data
+    words = np.empty(-(-len(data) // 8) * 8 + gram, "uint64")
+    for k in range(8):
+        words[k::8] = padded[k : k + len(words[k::8]) * 8].view("<u8")
+    h = np.zeros(n, "uint64")
+    for k in range(0, gram, 8):
+        h ^= words[k : k + n]
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(28)
+    return _mix(h[: max(n - gram + 1, 0)])
 
 
 def fragments(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of window starts with one smallest gram hash: text, first start, number of starts, hash, content hash, again.
 
-    `again` marks runs whose smallest gram comes twice nearby, so that a window may repeat within the run itself.
+    `again` marks runs whose smallest gram comes twice so near that a window may repeat within the run itself.
     """
     size = np.array([len(t) for t in texts], "int64")
     data = np.frombuffer(b"".join(texts), "uint8")
-    none = tuple(np.zeros(0, k) for k in ("int64", "int64", "int64", "uint64", "uint64", "bool"))
-    if len(data) < window:
-        return none
-    padded = np.concatenate([data, np.zeros(gram, "uint8")])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data) + gram - 8].copy().view("<u8").ravel()
-    h = np.zeros(len(data), "uint64")
-    for k in range(0, gram, 8):
-        h = (h ^ words[k : k + len(data)]) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(28)
-    h = _mix(h)[: len(data) - gram + 1]
-    least = _least(h, window - gram + 1)
-    end = np.cumsum(size)
     has = np.flatnonzero(size >= window)
     if not len(has):
-        return none
-    first, count = (end - size)[has], size[has] - window + 1
-    at = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)  # every window start
-    keys = least[at]
-    new = np.ones(len(at), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    new[np.cumsum(count)[:-1]] = True
+        return tuple(np.zeros(0, k) for k in ("int64", "int64", "int64", "uint64", "uint64", "bool"))
+    h = gram_hashes(data, gram)
+    width = window - gram + 1
+    least = _over(h, width, np.minimum)
+    end = np.cumsum(size)
+    begin = end - size
+    new = np.ones(len(least) + 1, bool)
+    new[1:-1] = least[1:] != least[:-1]
+    new[begin[has]] = new[end[has] - window + 1] = True
     run = np.flatnonzero(new)
-    starts, lengths = at[run], np.diff(np.append(run, len(at)))
-    keys = keys[run]
-    # grams that are the smallest of some window: only there can a window equal one of its own run
-    cover = ~_least(~np.concatenate([np.zeros(window - gram, "uint64"), least, np.zeros(window - gram, "uint64")])[: len(h) + window - gram], window - gram + 1)
-    values, times = np.unique(h[cover[: len(h)] == h], return_counts=True)
-    again = np.isin(keys, values[times > 1])
+    starts, lengths = run[:-1], np.diff(run)
     which = np.searchsorted(end, starts, "right")
+    inside = starts - begin[which] <= size[which] - window  # no window that goes on into the next text
+    which, starts, lengths = which[inside], starts[inside], lengths[inside]
+    keys = least[starts]
+    # grams that are the smallest of some window: only there can a window equal one of its own run
+    smallest = np.zeros(len(h) + width - 1, "uint64")
+    smallest[width - 1 : width - 1 + len(least)] = least
+    at = np.flatnonzero(_over(smallest, width, np.maximum) == h)
+    at = at[np.argsort(h[at], kind="stable")]
+    value = h[at]
+    again = np.isin(keys, value[1:][(value[1:] == value[:-1]) & (np.diff(at) <= width)])
     content = substring_hashes(prefix_sums(data), starts, starts + lengths + window - 1)
-    return which, starts - (end - size)[which], lengths, keys, content, again
+    return which, starts - begin[which], lengths, keys, content, again
+
+
+def may_repeat(keys: np.ndarray, strings: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Which fragments (whole keys) can hold a window that repeats; never False for one that does.
+
+    Where all fragments of a key hold its gram once, equal windows have it at the same place. Windows with the gram in
+    one of PARTS ranges of places share the bytes common to that range, so a fragment that shares none of these parts
+    with another one of its key shares no window.
+    """
+    size = np.array([len(s) for s in strings], "int64")
+    data = np.frombuffer(b"".join(strings), "uint8")
+    end = np.cumsum(size)
+    begin = end - size
+    at = np.flatnonzero(gram_hashes(data, gram) == np.repeat(keys, size)[: max(len(data) - gram + 1, 0)])
+    which = np.searchsorted(end, at, "right")
+    at, which = at[at + gram <= end[which]], which[at + gram <= end[which]]
+    _, key = np.unique(keys, return_inverse=True)
+    keep = np.isin(key, key[np.bincount(which, minlength=len(size)) != 1])
+    at, which = at[~keep[which]], which[~keep[which]]
+    sums, reach = prefix_sums(data), window - gram
+    for part in range(PARTS):
+        first, last = at - reach * part // PARTS, at + window - reach * (part + 1) // PARTS
+        ok = (first >= begin[which]) & (last <= end[which])
+        shared = _mix(substring_hashes(sums, first[ok], last[ok]) ^ keys[which[ok]])
+        _, same, times = np.unique(shared, return_inverse=True, return_counts=True)
+        keep[which[ok][times[same] > 1]] = True
+    return keep
 
 
 class RunIndex:
@@ -160,10 +204,17 @@ class RunIndex:
             k *= 2
         self.order = order[left[order] > 0]
 
-    def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Longest common extensions of pairs of positions; 0 where there is none."""
-        ok, n = q >= 0, len(self.text)
-        q, off = np.where(ok, q, 0), np.zeros(len(p), "int64")
+    def _common(self, p: np.ndarray, q: np.ndarray, least: int = 1) -> np.ndarray:
+        """Longest common extensions of pairs of positions; 0 where there is none, or surely none of `least` symbols."""
+        near = q >= 0
+        for rank in [rank for k, rank in self.levels if k <= least][-1:]:
+            near &= rank[p] == rank[np.maximum(q, 0)]
+        out = np.zeros(len(p), "int64")
+        out[near] = self._extension(p[near], q[near])
+        return out
+
+    def _extension(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        n, off = len(self.text), np.zeros(len(p), "int64")
         for k, rank in reversed(self.levels):
             same = rank[np.minimum(p + off, n - 1)] == rank[np.minimum(q + off, n - 1)]
             off += np.where(same, k, 0)
@@ -172,10 +223,10 @@ class RunIndex:
             same &= (off < self.left[p]) & (off < self.left[q])
             same &= self.text[np.minimum(p + off, n - 1)] == self.text[np.minimum(q + off, n - 1)]
             off += same
-        return np.where(ok, np.minimum(off, np.minimum(self.left[p], self.left[q])), 0)
+        return np.minimum(off, np.minimum(self.left[p], self.left[q]))
 
-    def matching(self) -> np.ndarray:
-        """For every text position, the length of its longest match with another position.
+    def matching(self, least: int = 1) -> np.ndarray:
+        """For every text position, the length of its longest match with another position; exact from `least` on.
 
         Inside a run the neighbour of a position is the neighbour of the one before it, moved by one, so its match is
         one shorter: only run heads and run ends are compared, the rest is streamed in text order.
@@ -183,14 +234,14 @@ class RunIndex:
         n, best = len(self.text), 0
         for at, other in ((self.head, self.above), (self.tail, self.below)):
             value, since = np.zeros(n, "int64"), np.zeros(n, "int64")
-            value[at], since[at] = self._common(at, other), at
+            value[at], since[at] = self._common(at, other, least), at
             since = np.maximum.accumulate(since)
             best = np.maximum(best, value[since] - (np.arange(n) - since))
         return best
 
     def repeated(self, window: int) -> list[np.ndarray]:
         """For each string, the starts of its windows that also start elsewhere in the block."""
-        hit = np.flatnonzero((self.matching() >= window) & (self.left >= window))
+        hit = np.flatnonzero((self.matching(window) >= window) & (self.left >= window))
         which = np.searchsorted(self.starts, hit, "right") - 1
         return np.split(hit - self.starts[which], np.searchsorted(which, np.arange(1, len(self.starts))))
 
@@ -243,28 +294,43 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return in_arrow(rows, run, "key long, content long, times long, bytes binary").dropDuplicates(["key", "content"])
 
 
-def _index_blocks(strings: DataFrame, window: int, block: int) -> DataFrame:
+def indexed(rows: list[tuple[int, int, bytes]], window: int = WINDOW, gram: int = GRAM, pack: int = PACK) -> Iterator:
+    """(key, content, spans) of `rows` (key, content, bytes), whole keys in order, that hold windows that repeat."""
+    keep = may_repeat(np.array([r[0] for r in rows], "int64").view("uint64"), [r[2] for r in rows], window, gram)
+    rows = [r for r, k in zip(rows, keep, strict=True) if k]
+    size, packs = 0, [[]]
+    for row in rows:
+        if size >= pack and packs[-1][-1][0] != row[0]:
+            packs.append([])
+            size = 0
+        packs[-1].append(row)
+        size += len(row[2])
+    for some in packs if rows else []:
+        for (key, content, _), hits in zip(some, RunIndex([r[2] for r in some]).repeated(window), strict=True):
+            if len(hits):
+                yield key, content, _runs(hits)
+
+
+def _index_blocks(strings: DataFrame, window: int, gram: int, block: int) -> DataFrame:
     """(key, content, spans): window starts, as (first, last), that repeat among the fragments of a key."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def answer(rows: list) -> pa.RecordBatch:
-            hits = RunIndex([r[2] for r in rows]).repeated(window)
-            spans = [[{"first": a, "last": b} for a, b in _runs(h)] for h in hits]
+            found = list(indexed(rows, window, gram))
+            spans = [[{"first": a, "last": b} for a, b in r[2]] for r in found]
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(spans, kind)], ["key", "content", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array(spans, kind)], ["key", "content", "spans"])
 
-        rows, size, group = [], 0, 0  # group: where the rows of the last key begin
+        rows, size = [], 0
         for batch in batches:
-            for key, content, data in zip(*(batch.column(c) for c in ("key", "content", "bytes")), strict=True):
-                key = key.as_py()
-                if rows and rows[-1][0] != key:
-                    if size >= block:
-                        yield answer(rows)
-                        rows, size = [], 0
-                rows.append((key, content.as_py(), data.as_py()))
-                size += len(rows[-1][2])
+            for key, content, data in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "bytes")), strict=True):
+                if rows and rows[-1][0] != key and size >= block:
+                    yield answer(rows)
+                    rows, size = [], 0
+                rows.append((key, content, data))
+                size += len(data)
         if rows:
             yield answer(rows)
 
@@ -305,7 +371,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
     sizes = spill(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("place.n") + window).alias("bytes"), F.max("again").alias("any")).where("kinds > 1 OR any").select("key", "bytes"), "sizes")
     sized = spill(kinds.join(sizes, "key"), "sized")
     strings = spill(_cut_out(docs, sized, window).join(sizes.withColumnRenamed("bytes", "total"), "key"), "strings")
-    found = _index_blocks(strings.where(F.col("total") <= block), window, block).union(_by_windows(strings.where(F.col("total") > block), window))
+    found = _index_blocks(strings.where(F.col("total") <= block), window, gram, block).union(_by_windows(strings.where(F.col("total") > block), window))
     # a fragment that comes several times repeats as a whole
     whole = kinds.where("times > 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("place.n") - 1).alias("last"))).alias("spans"))
     found = spill(found.where(F.size("spans") > 0).union(whole), "found")
