@@ -240,12 +240,12 @@ def _alike(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, simi
 
 
 def _prefix(h, common, similarity: float):
-    """The first of a set of n hashes, so many that two sets of this similarity must share one; those in `common` come last."""
+    """The first of a set of n hashes, so many that two sets of this similarity must share one; those in `common` (sorted) come last."""
     import numpy as np
 
     most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
-    if len(common):
-        h = h[np.argsort(np.isin(h, common), kind="stable")]
+    if len(common):  # looked up one by one: np.isin would sort all of `common` again for each text
+        h = h[np.argsort(common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h, kind="stable")]
     return h[:most].view("int64").tolist() if len(h) else [0]
 
 
@@ -282,7 +282,7 @@ def _sketches(docs: DataFrame, words: int, similarity: float, late: list[int]) -
         import numpy as np
         import pyarrow as pa
 
-        common = np.array(late, "int64").view("uint64")
+        common = np.sort(np.array(late, "int64").view("uint64"))
         for batch in batches:
             sizes, odd, wide, out = [], np.zeros((batch.num_rows, BITMAP // 64), "int64"), [], []
             for k, t in enumerate(batch.column("_text")):

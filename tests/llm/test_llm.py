@@ -156,6 +156,26 @@ def test_texts_unlike_their_leader_meet(spark):
     assert {tuple(sorted((of[r["u"]], of[r["v"]]))) for r in linked.collect()} == {(2, 5), (3, 6), (4, 7)}
 
 
+def test_cost_of_a_prefix_does_not_follow_the_common_shingles():
+    rng = np.random.default_rng(5)
+    common = np.unique(rng.integers(0, 1 << 64, simhash.LATE, "uint64"))
+    texts = [np.unique(np.concatenate([rng.integers(0, 1 << 64, 400, "uint64"), rng.choice(common, n)])) for n in (0, 1, 20, 300)]
+    few = np.unique(np.concatenate([common[:50], texts[2][:50]]))
+    for h in [*texts, common[:7], common[-7:], texts[0][:1], texts[0][:0]]:
+        for known in (common, few):
+            last = np.isin(h, known)
+            want = np.concatenate([h[~last], h[last]])[: len(h) - -(-len(h) * 4 // 5) + 1]
+            assert simhash._prefix(h, known, 0.8) == (want.view("int64").tolist() if len(h) else [0])
+
+    def seconds(known):
+        began = time.perf_counter()
+        for h in texts * 10:
+            simhash._prefix(h, known, 0.8)
+        return time.perf_counter() - began
+
+    assert min(seconds(common) for _ in range(3)) < 20 * min(seconds(few) for _ in range(3))
+
+
 def test_near_copies_against_all_pairs(spark, documents, texts):
     sets = {i: frozenset(map(int, simhash.shingle_hashes(t, 5))) for i, t in texts.items()}
     of = {i: i for i in sets}
