@@ -309,16 +309,29 @@ def _may_be_alike(similarity: float) -> Column:
 
     Two sets differ in at least as many shingles as slots whose numbers of shingles are not both odd or both even, so
     the sketches of alike sets are within a budget of bits. By pigeonring, from some segment on, every chain of
-    consecutive segments is then within its share of the budget: most pairs fail that before the full distance.
+    consecutive segments is then within its share of the budget: most pairs fail that for chains of one or two before
+    the full distance, which implies it for longer ones. With those, the condition was over 8,000 bytes of code, which
+    the JVM does not compile.
     """
     x, y, n = F.col("x.n"), F.col("y.n"), BITMAP // 64
     budget = (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6
     differ = [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(n)]
-    sums = [[sum(differ[(i + k) % n] for k in range(1, length)) + differ[i] for length in range(1, n)] for i in range(n)]
-    chained = [reduce(Column.__and__, [d * n <= budget * length for length, d in enumerate(chain, 1)]) for chain in sums]
+    chained = [(differ[i] * n <= budget) & ((differ[i] + differ[(i + 1) % n]) * n <= budget * 2) for i in range(n)]
     return (F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6) & reduce(Column.__or__, chained) & (sum(differ[1:], differ[0]) <= budget)
 
 
+def _within_places(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of `rows` (place, sum, label, main, s, blocks) that meet in a place, have different labels and may be alike.
+
+    Those of the place's main label meet only others.
+    """
+    mine, others = F.pmod(F.xxhash64("sum"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("label <> main").select("place", mine.alias("i"), others.alias("j"), F.col("sum").alias("a"), F.col("label").alias("of_a"), F.col("s").alias("x"))
+    right = rows.select("place", mine.alias("j"), others.alias("i"), F.col("sum").alias("b"), F.col("label").alias("of_b"), (F.col("label") == F.col("main")).alias("mains"), F.col("s").alias("y"))
+    met = left.join(right, ["place", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & (F.col("mains") | (F.col("a") < F.col("b"))) & _may_be_alike(similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(texts, links) of `docs` (id, text): distinct texts (sum, least id), and pairs (u, v) of sums that are alike.
 
@@ -347,11 +360,7 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket:
     parts = named.groupBy("place", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("place").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
     rows = spill(named.join(mixed, "place").join(sketch, "sum").select("place", "sum", "label", "main", "s", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
-    mine, others = F.pmod(F.xxhash64("sum"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where("label <> main").select("place", mine.alias("i"), others.alias("j"), F.col("sum").alias("a"), F.col("label").alias("of_a"), F.col("s").alias("x"))
-    right = rows.select("place", mine.alias("j"), others.alias("i"), F.col("sum").alias("b"), F.col("label").alias("of_b"), (F.col("label") == F.col("main")).alias("mains"), F.col("s").alias("y"))
-    met = left.join(right, ["place", "i", "j"]).where((F.col("of_a") != F.col("of_b")) & (F.col("mains") | (F.col("a") < F.col("b"))) & _may_be_alike(similarity))
-    found = found.unionByName(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), known, docs, words, similarity))
+    found = found.unionByName(_alike(_within_places(rows, similarity), known, docs, words, similarity))
     return known.select("sum", "least"), found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 

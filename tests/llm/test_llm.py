@@ -176,6 +176,35 @@ def test_cost_of_a_prefix_does_not_follow_the_common_shingles():
     assert min(seconds(common) for _ in range(3)) < 20 * min(seconds(few) for _ in range(3))
 
 
+def test_the_pair_test_is_short_enough_to_be_compiled(spark, tmp_path, capsys):
+    rng = random.Random(17)
+    base = [rng.getrandbits(256) for _ in range(3)]
+    texts = []
+    for k in range(60):
+        bits = base[k % 3]
+        for _ in range(rng.randint(0, 40)):
+            bits ^= 1 << rng.randrange(256)
+        texts.append((k % 2, k, k // 2, 1, (rng.randint(80, 125), *(int.from_bytes(bits.to_bytes(32)[i : i + 8], signed=True) for i in range(0, 32, 8))), 2))
+    schema = "place long, sum long, label long, main long, s struct<n: int, b0: long, b1: long, b2: long, b3: long>, blocks int"
+    spark.createDataFrame(texts, schema).write.parquet(f"{tmp_path}/mixed")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = simhash._within_places(spark.read.parquet(f"{tmp_path}/mixed"), 0.8)
+        got = sorted((r["a"], r["b"]) for r in met.collect())
+        met.distinct().explain("codegen")
+        sizes = [int(x.split(";")[0]) for x in capsys.readouterr().out.split("maxMethodCodeSize:")[1:]]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    far = lambda x, y: sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x[1:], y[1:], strict=True))
+    alike = lambda x, y: min(x[0], y[0]) >= 0.8 * max(x[0], y[0]) - 1e-6 and far(x, y) <= (x[0] + y[0]) / 9 + 1e-6
+    met = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if a[0] == b[0] and a[2] != b[2] and alike(a[4], b[4])]
+    assert got == sorted((a[1], b[1]) for a, b in met) and got
+    assert sizes and max(sizes) < 8000
+
+
 def test_near_copies_against_all_pairs(spark, documents, texts):
     sets = {i: frozenset(map(int, simhash.shingle_hashes(t, 5))) for i, t in texts.items()}
     of = {i: i for i in sets}
